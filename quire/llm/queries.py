@@ -4,28 +4,92 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fingerprints, jaccard, licenses, mixing, packing, quality, substrings, tokens, toxicity, warc
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
 
-    from .tokens import token_counts
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
 
-    return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+def held_out() -> F.Column:
+    return (F.crc32(F.col("doc_id").cast("string")) % 5 == 0) & F.col("doc_id").isNotNull()
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights, bias = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = toxicity.score_toxicity(docs, weights, bias)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "sentence", "sentence_score")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
-    from .packing import pack
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = quality.log_ratios(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return quality.judge(docs.select("doc_id", "text"), ratios).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op8_token_counts)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_license_scan, op2_warc, op3_packing, op4_toxicity, op5_fingerprints, op6_mixing, op7_quality, op8_token_counts, op9_substring_dedup, op10_jaccard)
+}
+
 ORACLES: dict[str, str] = {}
+
+_SPACED = "[^\\x20\\x09-\\x0D]+"
+ORACLES["op9_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS path FROM w, unnest(range(1, greatest(len(words) - 33, 1))) AS r(i)),
+hit AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY path) > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM hit, range(0, 35) AS r(d)),
+word AS (SELECT doc_id, i, words[i] AS word FROM w, unnest(range(1, len(words) + 1)) AS r(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op10_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACED}') AS words FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE [array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)] END) AS s FROM w),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n, any_value(a.n + b.n) AS total FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+edges AS (SELECT a, b FROM pairs WHERE 100 * both_n >= 85 * (total - both_n)),
+near AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach AS (SELECT doc_id, doc_id AS root FROM sets UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.doc_id WHERE reach.root < near.b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(root) FROM reach r WHERE r.doc_id = sets.doc_id)::BIGINT AS component_id FROM sets
+"""
