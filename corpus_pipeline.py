@@ -1,8 +1,69 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-STAGES: list = []
+documents -> without toxic ones -> one of each group of near duplicates -> without
+passages that repeat -> sources mixed to their targets -> packed sequences. Every stage
+works on all rows that the one before kept; what it decides, the next one sees. No row is
+dropped but by a stage's decision: documents that lose all their words stay, empty.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import jaccard, mixing, packing, substrings, toxicity
+from quire.llm.common import written
+from quire.llm.queries import held_out
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to the labels that are not held out, does not find toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    weights, bias = toxicity.train(docs, labels)
+    return toxicity.drop_toxic(docs, weights, bias)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key that is never null and a mark of the text."""
+    return docs.withColumn("_mark", F.xxhash64("text")).withColumn("_key", F.coalesce("doc_id", "_mark"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a word 5-shingle similarity of 0.8 or more, directly or not, the one of the least doc_id. Repeated rows are copies too."""
+    found = jaccard.similar_components(docs, 5, 80)
+    stay = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.coalesce("doc_id", "mark").alias("_key"), F.col("mark").alias("_mark")).distinct()
+    return _keyed(docs).join(stay, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that windows of 35 words cover which start anywhere else too; other texts as they are."""
+    found = substrings.remove_repeats(docs, 35).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, so that each source gives nearly its target's words."""
+    copies = mixing.mix_sources(docs).select(F.coalesce("doc_id", "mark").alias("_key"), F.col("mark").alias("_mark"), "copies").groupBy("_key", "_mark").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    once = _keyed(docs).join(copies, ["_key", "_mark"]).dropDuplicates(["_key", "_mark"])
+    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_copies), ("repeated passages", drop_repeats), ("mixing", mix_to_targets), ("packing", pack)]
+
+#: No SQL for learning, the cube method and tokenizing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each result but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
