@@ -96,8 +96,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return p[:n], q[:n]
 
 
-def _letters() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
+def letters(data: np.ndarray) -> np.ndarray:
+    """64-bit values of bytes."""
+    return mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))[data]
 
 
 def span_hashes(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def span_hashes(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return span_hashes(_letters()[data], s, e)
+    return span_hashes(letters(data), s, e)
 
 
 def window_starts(woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

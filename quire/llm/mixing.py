@@ -67,7 +67,7 @@ def _walk(units: list[list], draw: int) -> None:
 
 
 def _flight(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decides the documents of each block; rows come ordered by source and block. Three undecided ones are held."""
+    """Decides the documents of each block; rows come ordered by source and block, and by size from the largest, so that what stays undecided is small. Three undecided ones are held."""
     held: list[list] = []
     of = None
     for batch in rows:
@@ -135,7 +135,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         blocks = counted.select(F.col("number").alias("of_number"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
         dealt = left.join(F.broadcast(blocks) if len(sources) <= 100_000 else blocks, F.col("number") == F.col("of_number"))
         dealt = dealt.select("number", F.pmod(F.xxhash64(F.lit(len(decided)), "draw"), F.col("blocks")).cast("int").alias("block"), "draw", "doc_id", "size", "chance")
-        flown = dealt.repartition("number", "block").sortWithinPartitions("number", "block", "draw", F.asc_nulls_first("doc_id"), "size", "chance").mapInArrow(_flight, _FIELDS)
+        flown = dealt.repartition("number", "block").sortWithinPartitions("number", "block", F.desc("size"), "draw", F.asc_nulls_first("doc_id"), "chance").mapInArrow(_flight, _FIELDS)
         flown = written(flown, "flown")
         decided.append(flown.where(F.col("chance").isin(0.0, 1.0)))
         left = flown.where(~F.col("chance").isin(0.0, 1.0))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets, a power of two; trusted rows at most, those of least hash of doc_id; the least mean ratio of a kept text.
-BUCKETS, TRUSTED_ROWS, THRESHOLD = 1 << 14, 10_000, -0.35
+BUCKETS, TRUSTED_ROWS, THRESHOLD = 1 << 14, 10_000, -0.06
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
