@@ -245,7 +245,7 @@ class Page:
             matrix = [float(self.objects.resolve(x)) for x in get(got, "Matrix", list) or IDENTITY]
             inner = s.copy()
             inner.ctm = multiply(tuple(matrix), s.ctm)
-            group = self.add("group", parent, points=[]) if get(got, "Group", dict) else parent
+            group = self.add("group", parent, points=[]) if get(got, "Group", dict) is not None else parent
             self.active.add(id(got))
             self.run(decode(got, self.objects, self.objects.limits["decoded_bytes"]), get(got, "Resources", dict) or resources, inner, group, False)
             self.active.discard(id(got))
