@@ -114,6 +114,7 @@ class State:
     def __init__(self):
         self.ctm, self.font, self.size, self.spacing, self.word, self.scale, self.leading, self.rise = IDENTITY, None, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0
         self.font_name, self.fill, self.stroke, self.width, self.blend, self.alpha = "", (0.0,), (0.0,), 1.0, "Normal", 1.0
+        self.cap, self.join, self.miter, self.dash, self.clips, self.stroke_alpha = 0, 0, 10.0, ([], 0.0), (), 1.0
 
     def copy(self):
         new = State.__new__(State)
@@ -149,6 +150,7 @@ class Page:
         shown: list[bool] = []
         tm = lm = IDENTITY
         path: list[tuple] = []
+        clip = None
         get = self.objects.get
         for op, v in operations(data, self.objects.limits["operations"]):
             if top:
@@ -191,7 +193,7 @@ class Page:
                             s.word, s.spacing = float(v[0]), float(v[1])
                         tm = lm = multiply((1, 0, 0, 1, 0, -s.leading), lm)
                     parts = v[-1] if op == "TJ" else [v[-1]]
-                    first = len(self.runs)
+                    first, at = len(self.runs), tm
                     for x in parts:
                         if type(x) in (int, float):
                             move = -x / 1000 * s.size
@@ -199,15 +201,25 @@ class Page:
                         elif isinstance(x, bytes):
                             tm = self.show(x, s, tm, resources, all(shown) and top)
                     if all(shown):
-                        self.add("text", parent, text="".join(r["text"] for r in self.runs[first:]) if top else "", points=[apply(multiply(tm, s.ctm), 0, 0)], color=s.fill, mode=s.blend)
+                        self.add("text", parent, text="".join(r["text"] for r in self.runs[first:]) if top else "", points=[apply(multiply(at, s.ctm), 0, 0)], size=s.size, matrix=multiply(at, s.ctm), font=s.font.base if s.font else "", color=s.fill, mode=s.blend, alpha=s.alpha, clips=s.clips)
                 elif op in ("m", "l", "c", "v", "y", "re", "h"):
                     path.append((op, *(_corners(s.ctm, *map(float, v[:4])) if op == "re" else [apply(s.ctm, float(a), float(b)) for a, b in zip(v[::2], v[1::2])])))
                 elif op in ("W", "W*"):
-                    pass
+                    clip = "evenodd" if op == "W*" else "nonzero"
+                elif op == "J":
+                    s.cap = int(v[0])
+                elif op == "j":
+                    s.join = int(v[0])
+                elif op == "M":
+                    s.miter = float(v[0])
+                elif op == "d":
+                    s.dash = ([float(x) for x in v[0]], float(v[1]))
                 elif op.encode() in PAINT or op == "n":
                     if op != "n" and all(shown) and path:
-                        self.add("path", parent, paint=PAINT[op.encode()], rule="evenodd" if "*" in op else "nonzero", path=path, color=s.fill, stroke=s.stroke, width=s.width, mode=s.blend, alpha=s.alpha)
-                    path = []
+                        self.add("path", parent, paint=PAINT[op.encode()], rule="evenodd" if "*" in op else "nonzero", path=path, closed=op in ("s", "b", "b*"), color=s.fill, stroke=s.stroke, width=s.width, ctm=s.ctm, cap=s.cap, join=s.join, dash=s.dash, clips=s.clips, mode=s.blend, alpha=s.alpha, stroke_alpha=s.stroke_alpha)
+                    if clip and path:
+                        s.clips = (*s.clips, (tuple(path), clip))
+                    path, clip = [], None
                 elif op in ("g", "rg", "k", "sc", "scn"):
                     s.fill = tuple(float(x) for x in v if type(x) in (int, float)) or s.fill
                 elif op in ("G", "RG", "K", "SC", "SCN"):
@@ -220,12 +232,16 @@ class Page:
                     s.blend = str(mode[0] if isinstance(mode, list) and mode else mode or s.blend)
                     alpha = get(own, "ca", float)
                     s.alpha = s.alpha if alpha is None else min(1.0, max(0.0, alpha))
+                    alpha = get(own, "CA", float)
+                    s.stroke_alpha = s.stroke_alpha if alpha is None else min(1.0, max(0.0, alpha))
+                    width = get(own, "LW", float)
+                    s.width = s.width if width is None else width
                 elif op == "sh" and all(shown):
                     shading = get(get(resources, "Shading", dict) or {}, str(v[0]))
                     kind = get(shading, "ShadingType", int) or 0
                     self.add("mesh" if kind >= 4 else "gradient", parent, points=[])
                 elif op == "BI" and all(shown):
-                    self.add("image", parent, image=v[0], inline=True, matrix=s.ctm, points=[apply(s.ctm, x, y) for x, y in ((0, 0), (1, 1))])
+                    self.add("image", parent, image=v[0], inline=True, matrix=s.ctm, clips=s.clips, alpha=s.alpha, mode=s.blend, resources=resources, points=[apply(s.ctm, x, y) for x, y in ((0, 0), (1, 1))])
                 elif op == "Do" and all(shown):
                     self.xobject(resources, str(v[0]), s, parent)
             except (IndexError, TypeError, ValueError, AttributeError):
@@ -237,7 +253,7 @@ class Page:
         if got is None or not self.document.layer_visible(got.dict.get("OC")):
             return
         if get(got, "Subtype") == "Image":
-            self.add("image", parent, image=got, inline=False, matrix=s.ctm, points=[apply(s.ctm, x, y) for x, y in ((0, 0), (1, 1))])
+            self.add("image", parent, image=got, inline=False, matrix=s.ctm, clips=s.clips, alpha=s.alpha, mode=s.blend, resources=resources, points=[apply(s.ctm, x, y) for x, y in ((0, 0), (1, 1))])
         elif get(got, "Subtype") == "Form":
             if id(got) in self.active or len(self.active) > 64:
                 self.objects.note("graphics.form.recursive", f"form {name} contains itself")

@@ -7,8 +7,9 @@ import re
 from .content import Page
 from .crypto import Security
 from .filters import decode
-from .images import image_facts
+from .images import image_facts, png
 from .objects import Name, Objects, PdfError, Ref, Stream, text
+from .render import raster, svg
 
 ACTIONS = {"GoTo", "GoToR", "GoToE", "Launch", "URI", "Named", "JavaScript", "SubmitForm", "ResetForm", "ImportData", "Hide", "SetOCGState", "Sound", "Movie"}
 INHERITED = ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox", "Resources", "Rotate")
@@ -340,6 +341,61 @@ class Document:
                     out["images"].append({"page": i, "seq": e["seq"], **image_facts(self, e["image"], resources if isinstance(resources, dict) else {})})
         return out
 
+    def facet_svg(self) -> list[dict]:
+        return [{"page": i, "svg": svg(self, i)} for i in range(len(self.pages))]
+
+    def facet_bitmaps(self) -> list[dict]:
+        out = []
+        for i in range(len(self.pages)):
+            pixels = raster(self, i)
+            out.append({"page": i, "width": pixels.shape[1], "height": pixels.shape[0], "png": png(pixels)})
+        return out
+
+    def facet_actions(self) -> list[dict]:
+        """Actions of outline items, annotations and the document's opening, a row per node of each one's tree."""
+        owners: list[tuple[str, object, str]] = [("open", self.catalog.get("OpenAction"), "document")]
+        for i, p in enumerate(self.pages):
+            for k, value in enumerate(self.get(p["dict"], "Annots", list) or []):
+                got = self.objects.resolve(value)
+                if isinstance(got, dict) and "A" in got:
+                    owners.append((f"annotation {i} {k}", got["A"], "annotation"))
+        return [{"owner": owner, **row} for owner, value, scope in owners for row in self.action(value, scope)]
+
+    def facet_widgets(self) -> list[dict]:
+        """Widgets of fields with their pages: by the page's annotations, else by /P, else unmapped. The state of a button is V before AS for check boxes and radio buttons, AS before V for others, if the appearance has it, then Off, then the first by name."""
+        out, placed = [], {}
+        for i, p in enumerate(self.pages):
+            for value in self.get(p["dict"], "Annots", list) or []:
+                placed.setdefault(id(self.objects.resolve(value)), i)
+
+        def walk(value, field: int, kind: str, flags: int, chosen, depth: int) -> int:
+            got = self.objects.resolve(value)
+            if not isinstance(got, dict) or depth > self.objects.limits["depth"]:
+                return field
+            own, field = field, field + 1
+            kind, flags = str(self.get(got, "FT") or kind), self.get(got, "Ff", int) if self.get(got, "Ff", int) is not None else flags
+            chosen = got.get("V", chosen)
+            kids = self.get(got, "Kids", list) or []
+            below = [k for k in kids if "T" in (self.objects.resolve(k) or {})]
+            for k in below:
+                field = walk(k, field, kind, flags, chosen, depth + 1)
+            for i, w in enumerate([] if below else kids or [value]):
+                w = self.objects.resolve(w)
+                if isinstance(w, dict):
+                    states = self.get(self.get(w, "AP", dict), "N")
+                    names = sorted(states) if isinstance(states, dict) else []
+                    v, now = self.objects.resolve(chosen), self.get(w, "AS")
+                    order = [v, now] if kind == "Btn" and not flags & 1 << 16 else [now, v]
+                    state = next((str(x) for x in [*order, "Off", *names] if x is not None and str(x) in names), None)
+                    page = placed.get(id(w), self.refs.get(w.get("P")))
+                    out.append({"field": own, "idx": i, "page": page, "rect": self.box(self.get(w, "Rect")), "flags": self.get(w, "F", int) or 0, "states": names, "state": state})
+            return field
+
+        field = 0
+        for x in [] if self.locked else self.get(self.get(self.catalog, "AcroForm", dict), "Fields", list) or []:
+            field = walk(x, field, "", 0, None, 0)
+        return out
+
     # annotations and forms
 
     def facet_annotations(self) -> list[dict]:

@@ -35,6 +35,10 @@ FACETS = {
     "layers": "seq int, id string, name string, intents array<string>, base string, is_on boolean, is_off boolean, view_state boolean, is_locked boolean",
     "annotations": f"page int, idx int, id string, subtype string, rect {_BOX}, flags int, is_open boolean, layer_visible boolean, parent_id string, popup_id string, contents string, title string, uri string, target_page int, n_points int",
     "fields": "field int, parent int, nth int, name string, type string, flags int, values array<string>, defaults array<string>, appearance string, chosen array<int>, options array<struct<export string, display string>>, is_terminal boolean, n_widgets int",
+    "actions": "owner string, path array<int>, kind string, uri string, name string, page int",
+    "widgets": f"field int, idx int, page int, rect {_BOX}, flags int, states array<string>, state string",
+    "svg": "page int, svg string",
+    "bitmaps": "page int, width int, height int, png binary",
     "encryption": "version int, revision int, bits int, stream string, string string, embedded string, encrypt_metadata boolean, permissions int, is_owner boolean, is_locked boolean",
     "xref": "obj int, kind string, field1 long, field2 int",
     "diagnostics": "seq int, severity string, code string, message string, offset long",
