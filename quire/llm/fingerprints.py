@@ -24,7 +24,7 @@ from .substrings import _squeezed
 
 BUCKETS = 256
 #: Offsets of the bytes that make a triplet with the first one.
-TRIPLETS = ((1, 2), (1, 3))
+TRIPLETS = ((3, 6), (4, 9))
 #: Most that a bucket's and the length's distances count.
 FAR, FAR_LENGTH = 6, 2 * BUCKETS
 DISTANCE = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]])
@@ -52,7 +52,7 @@ def counts(texts: list[bytes]) -> np.ndarray:
         part = texts[at:to]
         if len(part) == 1:
             for i in range(0, len(part[0]), COUNT_BYTES):
-                _add(out[at:to], [part[0][i : i + COUNT_BYTES + 3]], limit=COUNT_BYTES)
+                _add(out[at:to], [part[0][i : i + COUNT_BYTES + max(q for _, q in TRIPLETS)]], limit=COUNT_BYTES)
         else:
             _add(out[at:to], part)
         at = to

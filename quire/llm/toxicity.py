@@ -20,7 +20,7 @@ from .kernels import ALNUM, LOWER, U, arrow_bytes, letters, slices, span_hashes,
 #: Buckets that words and their stems are hashed into, a power of two; stems are first bytes of longer words, so many.
 FEATURES, STEMS = 1 << 20, (4, 5, 6, 7, 8)
 #: Labelled rows that the weights are fitted to, at most: those of least hash of doc_id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 10_000
 #: Training documents that a bucket must occur in to have a weight.
 LEAST_DOCS = 8
 EPOCHS, RATE, BIAS_RATE, BIAS = 100, 10.0, 0.5, -6.0
@@ -68,31 +68,34 @@ def noisy_or(scores: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def fit(table: pa.Table, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights of the buckets, none negative, and the bias from text and toxic: accelerated proximal descent on the documents' mean log loss with an L1 penalty; deterministic."""
-    parts, n, n_sentences = [], 0, 0
+    parts, n, seen = [], 0, np.zeros(FEATURES, np.int64)
     for batch in table.to_batches():
         for part in slices(batch, "text"):
             sentence, bucket, doc, *_ = sentences(part.column("text"))
-            parts.append(((sentence + n_sentences).astype(np.int32), bucket.astype(np.int32), (doc + n).astype(np.int32)))
-            n, n_sentences = n + part.num_rows, n_sentences + len(doc)
+            seen += np.bincount(np.unique(doc[sentence] * FEATURES + bucket) % FEATURES, minlength=FEATURES)
+            parts.append((sentence.astype(np.int32), bucket.astype(np.int32), (doc + n).astype(np.int32)))
+            n += part.num_rows
     weights = np.zeros(FEATURES)
-    if not n_sentences:
+    used = np.flatnonzero(seen >= LEAST_DOCS)
+    if not len(used):
         return weights, BIAS
-    sentence, bucket, doc = (np.concatenate(x) for x in zip(*parts))
+    place = np.full(FEATURES, -1, np.int32)
+    place[used] = np.arange(len(used))
+    parts = [(sentence[place[bucket] >= 0], place[bucket][place[bucket] >= 0], doc) for sentence, bucket, doc in parts]
     labels = np.asarray(table.column("toxic").combine_chunks())
-    pairs = np.unique(doc[sentence].astype(np.int64) * FEATURES + bucket)
-    known = np.bincount(pairs % FEATURES, minlength=FEATURES) >= LEAST_DOCS
-    keep = known[bucket]
-    sentence, bucket = sentence[keep], bucket[keep]
-    used, bucket = np.unique(bucket, return_inverse=True)
     own, bias, near, near_bias, pace = np.zeros(len(used)), BIAS, np.zeros(len(used)), BIAS, 1.0
     penalty = L1 / n**0.5
     for _ in range(epochs):
-        score = _sigmoid(np.bincount(sentence, near[bucket], len(doc)) + near_bias)
-        p = np.clip(noisy_or(score, doc, n), 1e-6, 1 - 1e-6)
-        # the loss falls by score for label 0, by -score * (1 - p) / p for label 1, for each sentence's logit
-        slope = np.where(labels[doc] == 1, -score * (1 - p[doc]) / p[doc], score) / n
-        new = np.maximum(near - RATE * (np.bincount(bucket, slope[sentence], len(used)) + penalty), 0)
-        new_bias = near_bias - BIAS_RATE * slope.sum()
+        scores = [_sigmoid(np.bincount(sentence, near[bucket], len(doc)) + near_bias) for sentence, bucket, doc in parts]
+        p = np.clip(noisy_or(np.concatenate(scores), np.concatenate([doc for *_, doc in parts]), n), 1e-6, 1 - 1e-6)
+        slope, slope_bias = np.zeros(len(used)), 0.0
+        for score, (sentence, bucket, doc) in zip(scores, parts):
+            # the loss falls by score for label 0, by -score * (1 - p) / p for label 1, for each sentence's logit
+            each = np.where(labels[doc] == 1, -score * (1 - p[doc]) / p[doc], score) / n
+            slope += np.bincount(bucket, each[sentence], len(used))
+            slope_bias += each.sum()
+        new = np.maximum(near - RATE * (slope + penalty), 0)
+        new_bias = near_bias - BIAS_RATE * slope_bias
         faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         near, near_bias = new + (pace - 1) / faster * (new - own), new_bias + (pace - 1) / faster * (new_bias - bias)
         own, bias, pace = new, new_bias, faster
