@@ -93,3 +93,11 @@ near AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
 reach AS (SELECT doc_id, doc_id AS root FROM sets UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.doc_id WHERE reach.root < near.b)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(root) FROM reach r WHERE r.doc_id = sets.doc_id)::BIGINT AS component_id FROM sets
 """
+
+ORACLES["op2_warc"] = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (10 * g + 1)::INT, 10))::BIGINT >> (35 - 5 * k)::INT) & 31) + 1)::INT, 1) FOR k IN range(8)] FOR g IN range(4)]), '') AS payload_digest,
+  CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to
+FROM d
+"""
