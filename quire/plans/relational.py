@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blend as blends
 from ..functions import colour, dates, flags, geometry, labels, programs
-from ..operators import hierarchy, layout, lookup, policy
+from ..operators import forms, hierarchy, layout, lookup, policy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -492,3 +492,41 @@ def diagnostics_once(spark, sf_dir):
 def glyph_concat(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), "").alias("text"))
+
+
+@query("WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS types FROM events WHERE event_id % 4 = 0 GROUP BY user_id), o AS (SELECT user_id, unnest(['click', 'view', 'purchase']) AS export, unnest(range(3)) AS i, types FROM u) SELECT user_id, export, CASE WHEN user_id % 3 = 0 THEN i = user_id % 2 ELSE list_contains(types, export) END AS selected FROM o")
+def choice_options(spark, sf_dir):
+    options = F.array(*[F.struct(F.lit(x).alias("export"), F.lit(x).alias("display")) for x in ("click", "view", "purchase")])
+    users = table(spark, sf_dir, "events").where("event_id % 4 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
+    chosen = F.when(F.col("user_id") % 3 == 0, F.array((F.col("user_id") % 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    found = users.select("user_id", F.explode(forms.choice_options(options, F.col("types"), chosen)).alias("o"))
+    return found.select("user_id", "o.export", "o.selected")
+
+
+@query("WITH e AS (SELECT event_id, 'S' || event_id % 4 AS v, 'S' || event_id % 5 AS cur, event_id % 2 = 0 AS toggle, CASE WHEN event_id % 3 = 0 THEN ['Off', 'S1', 'S2'] ELSE ['S0', 'S3'] END AS states FROM events) SELECT event_id, CASE WHEN toggle AND list_contains(states, v) THEN v WHEN list_contains(states, cur) THEN cur WHEN list_contains(states, v) THEN v WHEN list_contains(states, 'Off') THEN 'Off' ELSE states[1] END AS state FROM e")
+def appearance_state(spark, sf_dir):
+    e = F.col("event_id")
+    states = F.when(e % 3 == 0, F.array(*map(F.lit, ("Off", "S1", "S2")))).otherwise(F.array(*map(F.lit, ("S0", "S3"))))
+    state = forms.appearance_state(states, F.concat(F.lit("S"), (e % 4).cast("string")), F.concat(F.lit("S"), (e % 5).cast("string")), e % 2 == 0)
+    return table(spark, sf_dir, "events").select("event_id", state.alias("state"))
+
+
+@query("SELECT o_orderkey, coalesce(c.c_nationkey, s.s_nationkey, -1)::INT AS page FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON o.o_custkey = c.c_custkey LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) s ON o.o_custkey = s.s_suppkey")
+def destination_page(spark, sf_dir):
+    first = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").withColumnRenamed("c_nationkey", "page")
+    second = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").withColumnRenamed("s_nationkey", "page")
+    found = forms.first_page(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [(first, "c_custkey"), (second, "s_suppkey")], "o_custkey", "page")
+    return found.select("o_orderkey", F.coalesce("page", F.lit(-1)).alias("page"))
+
+
+@query(f"SELECT {_KEY_SQL}, round(CASE WHEN x < 0.1 THEN 0.2 WHEN x < 0.5 THEN 0.2 + (x - 0.1) * 2 WHEN x < 0.9 THEN 1 - (x - 0.5) * 2.5 ELSE 0 END, 4) + 0.0 AS y FROM (SELECT *, l_quantity / 50 AS x FROM lineitem)")
+def gradient_stops(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(*_KEYS, r4(forms.gradient(F.col("l_quantity") / 50, [(0.1, 0.2), (0.5, 1.0), (0.9, 0.0)])).alias("y"))
+
+
+@query("SELECT l_orderkey, min(l_quantity) AS l, min(l_linenumber) AS b, max(l_quantity) AS r, max(l_linenumber) AS t, (3 * count(*))::INT AS points FROM lineitem GROUP BY l_orderkey")
+def bounding_box(spark, sf_dir):
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("xs"), F.collect_list("l_linenumber").alias("ys"))
+    box = forms.bounds(F.col("xs"), F.col("ys"))
+    return groups.select("l_orderkey", box["l"].alias("l"), box["b"].alias("b"), box["r"].alias("r"), box["t"].alias("t"), forms.point_count([F.col("xs")], F.array("xs", "xs")).alias("points"))
