@@ -9,10 +9,13 @@ boundary are in lists too. The boundary is the size at which the rows of subsets
 to cost more than the list entries that they would save, both counted.
 
 A list is not expanded into pairs. Its sets, by size, are compared with the smallest one
-that is near enough in size, its pivot. Only where a list's sets end in different
+that is near enough in size, its pivot, and in some lists with their neighbours. Only where a list's sets end in different
 components are its other pairs formed, of sets from different components that the
 pivot's exact distances leave possible (Jaccard distance is a metric). So every link
 between components is found, and links inside one need not be listed.
+
+Before texts are compared, sketches of parities, about a bit per element, rule out pairs
+that differ too much: sketches differ in no more bits than their sets do in elements.
 """
 
 from __future__ import annotations
@@ -32,10 +35,14 @@ from .components import components
 from .kernels import U, arrow_bytes, mix, shingle_sets, slices, span_hashes
 from .substrings import _squeezed
 
-#: Common elements that the order puts last, at most; and a slice's elements that count for this.
-COMMON, COMMON_OF_SLICE = 65_536, 1_000
+#: Common elements that the order puts last, at most; those of a slice that count for this, and rows of a task from which on one is common.
+COMMON, COMMON_OF_SLICE, COMMON_ROWS = 65_536, 2_000, 4
+#: Counters, by hash, that a task has to find them.
+COUNTERS = 1 << 24
 #: Sets up to this size can be light.
 LIGHT = 24
+#: One list of so many, by key, has its neighbours compared too: dense groups that their pivots do not hold together mostly are by that.
+NEIGHBOURS = 8
 #: Members that one copy of a pivot's text is compared with.
 SALT = 256
 
@@ -48,29 +55,53 @@ def common_elements(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles in many rows; a heuristic for the order only, results do not depend on it."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.uint16)
         for batch in rows:
             for part in slices(batch, "text"):
-                sets = [x for x in shingle_sets(part.column("text"), k)]
+                sets = list(shingle_sets(part.column("text"), k))
                 found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, U), np.empty(0, np.int64))
-                found, n = found[n >= 3], n[n >= 3]
-                top = np.argsort(-n, kind="stable")[:COMMON_OF_SLICE]
+                at = (found & U(COUNTERS - 1)).astype(np.int64)
+                so_far = np.minimum(seen[at] + n, 60_000)
+                seen[at] = so_far
+                often = so_far >= COMMON_ROWS
+                found, n, so_far = found[often], n[often], so_far[often]
+                top = np.argsort(-so_far, kind="stable")[:COMMON_OF_SLICE]
                 yield pa.RecordBatch.from_arrays([pa.array(found[top].view(np.int64)), pa.array(n[top].astype(np.int64))], ["element", "n"])
 
     found = docs.select("text").mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "element").limit(COMMON).select("element").toArrow()
     return np.sort(np.asarray(found.column("element").combine_chunks()).view(U))
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Bits, 64 or a larger power of two up to four times the set's size, each the parity of the elements that hash to it. The bits in which two sketches differ are no more than the elements in which the sets do."""
+    size = 64
+    while size * 2 <= 4 * len(found):
+        size *= 2
+    odd = np.bincount(((found >> U(20)) & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(a: str, b: str, percent: int) -> F.Column:
+    """Whether the sketches of two sets, columns a.n, a.sketch and so on, let them link; half a larger sketch is folded onto the other half."""
+    n, sa, sb = F.col(f"{a}.n") + F.col(f"{b}.n"), F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    words = F.least(F.size(sa), F.size(sb))
+    fold = lambda s: F.when(F.size(s) > words, F.zip_with(F.slice(s, F.lit(1), words), F.slice(s, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(s)
+    differ = F.aggregate(F.zip_with(fold(sa), fold(sb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return differ <= n - 2 * F.ceil(n * percent / (100 + percent))
+
+
 def shingle_rows(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, mark, n, h and front: the set's size, its digest, and what the join needs of it, in the order (all of a set of up to LIGHT elements)."""
+    """doc_id, mark, n, h, sketch and front: the set's size, its digest, its parities, and what the join needs of it, in the order (all of a set of up to LIGHT elements)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part in slices(batch, "text"):
-                n, h, front = [], [], []
+                n, h, front, sketch = [], [], [], []
                 for found in shingle_sets(part.column("text"), k):
                     size = len(found)
                     n.append(size)
                     h.append(int(span_hashes(found, np.array([0]), np.array([size])).view(np.int64)[0]) if size else 0)
+                    sketch.append(np.frombuffer(parity(found), np.int64))
                     if len(common) and size:
                         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                         late = common[at] == found
@@ -78,9 +109,9 @@ def shingle_rows(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> D
                     front.append(found[: size if size <= LIGHT else size - _need(size, percent) + 1].view(np.int64))
                 bounds = np.concatenate(([0], np.cumsum([len(x) for x in front]))).astype(np.int32)
                 flat = np.concatenate(front) if front else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "mark", "n", "h", "front"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "mark", "n", "h", "sketch", "front"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, h long, front array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, h long, sketch array<long>, front array<long>")
 
 
 def _subset_sizes(n: int, largest: int, percent: int) -> list[int]:
@@ -104,7 +135,7 @@ def boundary(nodes: DataFrame, percent: int) -> int:
 
 
 def signatures(nodes: DataFrame, light: int, percent: int) -> DataFrame:
-    """key, v, n: list entries of heavy sets and of light ones near them in size, and the subsets of light sets."""
+    """key, v, n, rank: list entries of heavy sets and of light ones near them in size, and the subsets of light sets."""
 
     def subsets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -114,35 +145,36 @@ def signatures(nodes: DataFrame, light: int, percent: int) -> DataFrame:
                     flat = np.array([x for s in combinations(own, c) for x in s], np.int64).view(U)
                     at = np.arange(0, len(flat), c)
                     keys = mix(span_hashes(flat, at, at + c)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), v)), pa.array(np.full(len(keys), n))], ["key", "v", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), v)), pa.array(np.full(len(keys), n)), pa.array(np.zeros(len(keys), np.int32))], ["key", "v", "n", "rank"])
 
-    heavy = nodes.where(F.col("n") >= _need(light + 1, percent)).select(F.explode(F.expr(f"slice(front, 1, cast(n + floor(-{percent} * n / 100) + 1 as int))")).alias("key"), "v", "n")
-    return heavy.union(nodes.where(F.col("n") <= light).select("v", "n", "front").mapInArrow(subsets, "key long, v long, n long"))
+    heavy = nodes.where(F.col("n") >= _need(light + 1, percent)).select(F.posexplode(F.expr(f"slice(front, 1, cast(n + floor(-{percent} * n / 100) + 1 as int))")).alias("rank", "key"), "v", "n").select("key", "v", "n", "rank")
+    return heavy.union(nodes.where(F.col("n") <= light).select("v", "n", "front").mapInArrow(subsets, "key long, v long, n long, rank int"))
 
 
 def _lists(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """key, pivot, v, n of lists with two sets or more, from rows ordered by key, n and v; only the list at hand's pivot is held."""
+    """key, pivot, v, n, rank, neighbour of lists with two sets or more, from rows ordered by key, n and v; only the pivot and the last set of the list at hand are held. In one list of NEIGHBOURS the set before is named too."""
     held = None  # the first row of a list, until a second one comes
     for batch in rows:
-        out: list[tuple[int, int, int, int]] = []
-        key, v, n = (np.asarray(batch.column(c)) for c in ("key", "v", "n"))
+        out: list[tuple] = []
+        key, v, n, rank = (np.asarray(batch.column(c)) for c in ("key", "v", "n", "rank"))
         same = np.ones(len(key) + 1, bool)  # same[i]: row i has its neighbour's key
         same[0], same[1:-1] = True, key[1:] == key[:-1]
         for i in np.flatnonzero(same[:-1] | same[1:]).tolist():
-            k, x, size = int(key[i]), int(v[i]), int(n[i])
+            k, x, size, place = int(key[i]), int(v[i]), int(n[i]), int(rank[i])
             if held is None or held[0] != k:
-                held = [k, x, size, False]
+                held = [k, x, size, place, False, x]
                 continue
-            if x == held[1]:
+            if x == held[5]:
                 continue
-            if not held[3]:
-                out.append((k, held[1], held[1], held[2]))
-                held[3] = True
+            if not held[4]:
+                out.append((k, held[1], held[1], held[2], held[3], None))
+                held[4] = True
             if held[2] < _need(size, percent):
                 held[1], held[2] = x, size
-            out.append((k, held[1], x, size))
+            out.append((k, held[1], x, size, place, held[5] if k % NEIGHBOURS == 0 and held[5] != held[1] != x else None))
+            held[5] = x
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "pivot", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "pivot", "v", "n", "rank", "neighbour"])
 
 
 def _compared(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -172,6 +204,13 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return members.union(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(lambda rows: _compared(rows, k), "a long, b long, both long, any long")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """v and z, the compressed text, of the rows that wanted (v, doc_id, mark) names."""
+    small = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_squeezed, "doc_id long, mark long, text binary")
+    both = small.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark")))
+    return written(both.groupBy("v").agg(F.min("text").alias("z")), "texts")
+
+
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, mark, n_shingles, component_id of every row of docs (doc_id, text, ...); mark is xxhash64(text).
 
@@ -185,16 +224,18 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     """
     own = docs.select("doc_id", "text")
     sets = written(shingle_rows(own, k, percent, common_elements(own, k)), "sets")
-    nodes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.min("doc_id").alias("doc"), F.first("front").alias("front"))
-    nodes = written(nodes.select("h", "n", F.coalesce("doc", "h").alias("v"), "least", "doc", "front"), "nodes")
+    nodes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.min("doc_id").alias("doc"), F.first("front").alias("front"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.select("h", "n", F.coalesce("doc", "h").alias("v"), "least", "doc", "front", "sketch"), "nodes")
     light = boundary(nodes, percent)
     rows = signatures(nodes, light, percent).repartition("key").sortWithinPartitions("key", "n", "v")
-    lists = written(rows.mapInArrow(lambda x: _lists(x, percent), "key long, pivot long, v long, n long"), "lists")
-    stars = lists.where("pivot != v").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct()
-    wanted = nodes.join(lists.select("v").distinct(), "v", "left_semi").select("v", "least.doc_id", "least.mark")
-    small = own.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_squeezed, "doc_id long, mark long, text binary")
-    texts = small.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark"))).groupBy("v").agg(F.min("text").alias("z"))
-    texts = written(texts, "texts")
+    lists = written(rows.mapInArrow(lambda x: _lists(x, percent), "key long, pivot long, v long, n long, rank long, neighbour long"), "lists")
+    sketches = written(nodes.join(lists.select("v").distinct(), "v", "left_semi").select("v", "n", "sketch"), "sketches")
+    stars = lists.where("pivot != v").select(F.col("pivot").alias("a"), F.col("v").alias("b")).union(lists.where("neighbour is not null").select("neighbour", "v")).distinct()
+    stars = stars.join(sketches.select(F.col("v").alias("a"), F.struct("n", "sketch").alias("x")), "a").join(sketches.select(F.col("v").alias("b"), F.struct("n", "sketch").alias("y")), "b")
+    stars = written(stars.where(may_link("x", "y", percent)).select("a", "b"), "stars")
+    wanted = nodes.select("v", "least.doc_id", "least.mark")
+    # after the sketches a set without any other left needs no text
+    texts = _texts(own, wanted.join(stars.select(F.col("a").alias("v")).union(stars.select("b")).distinct(), "v", "left_semi"))
     first = written(verified(stars, texts, k), "verified")
     linked = F.col("both") * 100 >= F.col("any") * percent
     edges = first.where(linked).select(F.col("a").alias("v"), F.col("b").alias("u"))
@@ -202,19 +243,30 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     member = lists.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     unsettled = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    member = member.join(unsettled, "key", "left_semi").join(first.select(F.col("a").alias("pivot"), F.col("b").alias("v"), "both", "any"), ["pivot", "v"], "left")
-    member = written(member.select("key", "pivot", "v", "n", "root", F.when(F.col("pivot") == F.col("v"), 0.0).otherwise(1 - F.col("both") / F.col("any")).alias("far")), "unsettled")
+    member = member.join(unsettled, "key", "left_semi").join(sketches.select("v", "sketch"), "v").join(first.select(F.col("a").alias("pivot"), F.col("b").alias("v"), "both", "any"), ["pivot", "v"], "left")
+    far = F.when(F.col("pivot") == F.col("v"), 0.0).otherwise(1 - F.col("both") / F.col("any"))  # null where the sketches said no
+    member = written(member.select("key", "pivot", "v", "n", "rank", "root", "sketch", far.alias("far")), "unsettled")
     x, y = member.alias("x"), member.alias("y")
-    apart = F.abs(F.col("x.far") - F.col("y.far"))
+    near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))  # what linked sets of these sizes share; then they share a list of their first n - overlap + 1 elements
     possible = (
         (F.col("x.key") == F.col("y.key")) & (F.struct("x.n", "x.v") < F.struct("y.n", "y.v")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
-        & (F.col("x.v") != F.col("y.pivot")) & ((F.col("x.pivot") != F.col("y.pivot")) | (apart <= 1 - percent / 100 + 1e-9))
+        & (F.col("x.rank") <= F.col("x.n") - overlap) & (F.col("y.rank") <= F.col("y.n") - overlap)
+        & (F.col("x.v") != F.col("y.pivot")) & ((F.col("x.pivot") != F.col("y.pivot")) | near) & may_link("x", "y", percent)
     )
-    rest = x.join(y, possible).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+    rest = written(x.join(y, possible).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return _named(sets, nodes, roots)
+    texts = _texts(own, wanted.join(rest.select(F.col("a").alias("v")).union(rest.select("b")).distinct(), "v", "left_semi"))
     second = written(verified(rest, texts, k), "verified")
     more = second.where(linked).select(F.col("a").alias("v"), F.col("b").alias("u"))
     if not more.isEmpty():
         roots = components(edges.union(more))
+    return _named(sets, nodes, roots)
+
+
+def _named(sets: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with their component's least doc_id."""
     named = nodes.join(roots, "v", "left").select("h", "n", "doc", F.coalesce("root", "v").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("component"))
     named = named.join(least, "root").select("h", "n", "component")
