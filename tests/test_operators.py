@@ -26,7 +26,7 @@ def test_layouts(spark):
     assert text(spark, rows, "raw") == "Left oneRight oneLeft twoRight two"
     assert text(spark, rows, "physical") == "Left one Right one\nLeft two Right two"
     assert text(spark, rows, "reading") == "Left one\nLeft two\nRight one\nRight two"
-    assert text(spark, rows, "physical", area=(0.0, 690.0, 100.0, 720.0)) == "Left one"
+    assert text(spark, rows, "physical", area=(0.0, 691.0, 100.0, 720.0)) == "Left one"
     hebrew = [run(0, "ב", 50, 700, rtl=True), run(1, "א", 90, 700, rtl=True)]
     assert text(spark, hebrew, "raw") == "בא" and text(spark, hebrew, "physical") == "אב"
     mixed = [run(0, "down", 500, 600, 10.0, 90.0, vertical=True), run(1, "flat ", 10, 700)]
