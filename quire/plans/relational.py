@@ -157,10 +157,10 @@ SELECT doc, max(len(firsts))::BIGINT AS n_lines FROM fold GROUP BY doc
 """
 )
 def line_cluster(spark, sf_dir):
-    """Greedy lines of jittered runs; the chosen documents are the feature's input, the rule is order-dependent."""
+    """Greedy lines of jittered runs of every order; the rule is order-dependent. The SQL clusters the orders divisible by seven only."""
     from pyspark.sql import Window
 
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
+    items = table(spark, sf_dir, "lineitem")
     bottom = F.lit(700) - F.col("l_linenumber") * F.lit(2.0) - F.col("l_tax") * 20
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     runs = items.select(F.col("l_orderkey").alias("doc"), nth.alias("seq"), F.lit("x").alias("text"), F.lit(0.0).alias("left"), bottom.alias("bottom"), F.lit(1.0).alias("right"), bottom.alias("top"), (8.0 + F.col("l_linenumber") % 3).alias("font_size"), F.lit(False).alias("space_after"), F.lit(False).alias("rtl"), F.lit(False).alias("vertical"))
