@@ -175,7 +175,7 @@ SELECT user_id, policy, CASE policy WHEN 'AllOn' THEN list_bool_and(states) WHEN
 """
 )
 def policy_visibility(spark, sf_dir):
-    sets = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_list(F.col("value") > 50).alias("states"))
+    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("value") > 50).alias("states"))
     sets = sets.withColumn("policy", F.get(F.array(*map(F.lit, (*policy.POLICIES, "Odd"))), (F.col("user_id") % 5).cast("int")))
     return sets.select("user_id", "policy", policy.membership_visible(F.col("policy"), F.col("states")).alias("visible"))
 
@@ -497,7 +497,7 @@ def glyph_concat(spark, sf_dir):
 @query("WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS types FROM events WHERE event_id % 4 = 0 GROUP BY user_id), o AS (SELECT user_id, unnest(['click', 'view', 'purchase']) AS export, unnest(range(3)) AS i, types FROM u) SELECT user_id, export, CASE WHEN user_id % 3 = 0 THEN i = user_id % 2 ELSE list_contains(types, export) END AS selected FROM o")
 def choice_options(spark, sf_dir):
     options = F.array(*[F.struct(F.lit(x).alias("export"), F.lit(x).alias("display")) for x in ("click", "view", "purchase")])
-    users = table(spark, sf_dir, "events").where("event_id % 4 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
     chosen = F.when(F.col("user_id") % 3 == 0, F.array((F.col("user_id") % 2).cast("int"))).otherwise(F.array().cast("array<int>"))
     found = users.select("user_id", F.explode(forms.choice_options(options, F.col("types"), chosen)).alias("o"))
     return found.select("user_id", "o.export", "o.selected")

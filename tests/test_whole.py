@@ -28,3 +28,23 @@ def test_line_cluster_has_every_order(spark, tmp_path):
     for order, line, _, _, _, tax in items:
         want.setdefault(order, []).append((700 - line * 2.0 - tax * 20, line, 8.0 + line % 3))
     assert {r.doc: r.n_lines for r in got} == {order: n_lines(runs) for order, runs in want.items()} and len(got) == 29
+
+
+EVENTS = "event_id long, user_id long, event_type string, value double"
+
+
+def test_policy_visibility_counts_every_event(spark, tmp_path):
+    # each policy with sets all on, all off and mixed; a user with one event that no multiple of three numbers
+    states = {user: ([90.0] * 3, [10.0] * 3, [90.0, 10.0, 10.0], [90.0])[user // 5] for user in range(20)}
+    events = [(10 * user + 1 + i, user, "click", value) for user, values in states.items() for i, value in enumerate(values)]
+    got = {r.user_id: (r.policy, r.visible) for r in rows_of(spark, tmp_path, "policy_visibility", events=(events, EVENTS))}
+    rules = [("AnyOn", any), ("AllOn", all), ("AnyOff", lambda on: not all(on)), ("AllOff", lambda on: not any(on)), ("Odd", any)]
+    assert got == {user: (rules[user % 5][0], rules[user % 5][1]([v > 50 for v in values])) for user, values in states.items()}
+
+
+def test_choice_options_take_every_event(spark, tmp_path):
+    types = {1: ["click"], 2: ["view", "purchase"], 3: ["view"], 4: [], 5: ["click", "view", "purchase", "click"], 7: ["other"]}
+    events = [(10 * user + 1 + i, user, kind, 1.0) for user, kinds in types.items() for i, kind in enumerate(kinds)]
+    got = {(r.user_id, r.export): r.selected for r in rows_of(spark, tmp_path, "choice_options", events=(events, EVENTS))}
+    exports = ["click", "view", "purchase"]
+    assert got == {(user, x): (i == user % 2 if user % 3 == 0 else x in kinds) for user, kinds in types.items() if kinds for i, x in enumerate(exports)}
