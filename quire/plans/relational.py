@@ -109,9 +109,9 @@ def text_search_ignore_case(spark, sf_dir):
 
 
 def _grid(spark, sf_dir) -> DataFrame:
-    """Runs of the first words of a document's turns, eight to a line, on a grid that leaves no doubt."""
+    """Runs of all words of a document's turns, eight to a line, on a grid that leaves no doubt; lines go on below zero."""
     turns = table(spark, sf_dir, "conversations")
-    words = turns.select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)).alias("seq", "text")).where("seq < 40")
+    words = turns.select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)).alias("seq", "text"))
     x, y = (F.col("seq") % 8) * 60.0, 700.0 - F.floor(F.col("seq") / 8) * 20
     return words.select("doc", "page", (F.lit(1000) - F.col("seq")).alias("seq"), "text", x.alias("left"), y.cast("double").alias("bottom"), (x + 20).alias("right"), (y + 10).cast("double").alias("top"), F.lit(10.0).alias("font_size"), F.lit(False).alias("space_after"), F.lit(False).alias("rtl"), F.lit(False).alias("vertical"))
 
@@ -131,7 +131,7 @@ def layout_raw(spark, sf_dir):
 
 @query(f"{_GRID}, lines AS (SELECT doc, page, i // 8 AS line, string_agg(word, ' ' ORDER BY i) AS text FROM g WHERE i % 8 BETWEEN 1 AND 3 GROUP BY ALL), pages AS (SELECT DISTINCT doc, page FROM g) SELECT doc, page, coalesce(string_agg(text, chr(10) ORDER BY line), '') AS text FROM pages LEFT JOIN lines USING (doc, page) GROUP BY ALL")
 def layout_area(spark, sf_dir):
-    return layout.page_text(_grid(spark, sf_dir), ["doc", "page"], "physical", (50.0, 0.0, 190.0, 800.0))
+    return layout.page_text(_grid(spark, sf_dir), ["doc", "page"], "physical", (50.0, float("-inf"), 190.0, 800.0))
 
 
 @query(

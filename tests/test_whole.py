@@ -48,3 +48,25 @@ def test_choice_options_take_every_event(spark, tmp_path):
     got = {(r.user_id, r.export): r.selected for r in rows_of(spark, tmp_path, "choice_options", events=(events, EVENTS))}
     exports = ["click", "view", "purchase"]
     assert got == {(user, x): (i == user % 2 if user % 3 == 0 else x in kinds) for user, kinds in types.items() if kinds for i, x in enumerate(exports)}
+
+
+TURNS = "conv_id long, turn int, role string, text string"
+
+
+@pytest.mark.parametrize("query", ["layout_join", "layout_raw", "layout_area", "layout_columns"])
+def test_layouts_have_all_words(spark, tmp_path, query):
+    sizes = {(1, 0): 3, (1, 1): 20, (2, 0): 41, (2, 1): 330, (3, 0): 1203}
+    words = {at: ["w" + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(n)] for at, n in sizes.items()}
+    got = rows_of(spark, tmp_path, query, conversations=([(doc, page, "user", " ".join(w)) for (doc, page), w in words.items()], TURNS))
+    want = {}
+    for at, w in words.items():
+        lines = [w[i : i + 8] for i in range(0, len(w), 8)]
+        if query == "layout_join":
+            want[at] = "\n".join(" ".join(x) for x in lines)
+        elif query == "layout_raw":
+            want[at] = "".join(reversed(w))
+        elif query == "layout_area":
+            want[at] = "\n".join(" ".join(x[1:4]) for x in lines if len(x) > 1)
+        elif len(w) > 15:
+            want[at] = "\n".join([" ".join(x[:3]) for x in lines] + [" ".join(x[5:]) for x in lines if len(x) > 5])
+    assert {(r.doc, r.page): r.text for r in got} == want
