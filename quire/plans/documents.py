@@ -98,7 +98,7 @@ def pdf_predictor_md5(spark, sf_dir):
 
 @query("SELECT page_id AS doc_id, 'Title' AS key, left(url, 60) AS value FROM pages UNION ALL SELECT page_id, 'Author', 'page ' || page_id FROM pages")
 def pdf_info(spark, sf_dir):
-    files = made(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.text_pdf("", info={"Title": r["url"][:60], "Author": f"page {r['page_id']}"}))
+    files = made(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.text_pdf("", info={"Title": r["url"], "Author": f"page {r['page_id']}"}))
     return pdf.table(pdf.parse(files, ["info"], ["doc_id"]), "info", ["doc_id"])
 
 
@@ -115,7 +115,7 @@ def pdf_outline(spark, sf_dir):
         items, root = [], None
         for i, t in enumerate(r["turns"]):
             parent = None if t["role"] == "user" else root
-            items.append((t["text"][:40], parent, 0))
+            items.append((t["text"], parent, 0))
             root = i if t["role"] == "user" else root
         return synth.text_pdf("", outline=items)
 

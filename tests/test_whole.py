@@ -70,3 +70,16 @@ def test_layouts_have_all_words(spark, tmp_path, query):
         elif len(w) > 15:
             want[at] = "\n".join([" ".join(x[:3]) for x in lines] + [" ".join(x[5:]) for x in lines if len(x) > 5])
     assert {(r.doc, r.page): r.text for r in got} == want
+
+
+def test_outline_titles_are_whole_texts(spark, tmp_path):
+    texts = {(1, 0): "short", (1, 1): "long text " * 60 + "end", (1, 2): "two\nlines, é and 漢字 " * 40 + ".", (2, 0): "x" * 41}
+    turns = [(conv, turn, "user" if turn % 2 == 0 else "assistant", text) for (conv, turn), text in texts.items()]
+    got = rows_of(spark, tmp_path, "pdf_outline", conversations=(turns, TURNS))
+    assert {(r.doc_id, r.preorder): (r.title, r.depth) for r in got} == {at: (text, at[1] % 2) for at, text in texts.items()}
+
+
+def test_info_values_are_whole_urls(spark, tmp_path):
+    urls = {1: "http://a.example/" + "long/" * 40, 2: "http://b.example/"}
+    got = rows_of(spark, tmp_path, "pdf_info", pages=(list(urls.items()), "page_id long, url string"))
+    assert {r.doc_id: r.value for r in got if r.key == "Title"} == urls
