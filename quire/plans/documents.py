@@ -165,7 +165,7 @@ def pdf_layers_text(spark, sf_dir):
 def pdf_element_counts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "turn", "text")
     files = made(turns, "id", lambda r: synth.text_pdf(r["text"], links=["u"] * (r["turn"] % 4)))
-    rows = pdf.table(pdf.parse(files, ["elements"], ["doc_id"]), "elements", ["doc_id"]).where("parent is null and page = 0")
+    rows = pdf.table(pdf.parse(files, ["elements"], ["doc_id"]), "elements", ["doc_id"]).where("parent is null")
     return policy.count_kinds(rows, ["doc_id", "page"], "kind", {"n_text": ["text"], "n_paths": ["path"], "n_images": ["image"]})
 
 

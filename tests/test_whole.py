@@ -83,3 +83,16 @@ def test_info_values_are_whole_urls(spark, tmp_path):
     urls = {1: "http://a.example/" + "long/" * 40, 2: "http://b.example/"}
     got = rows_of(spark, tmp_path, "pdf_info", pages=(list(urls.items()), "page_id long, url string"))
     assert {r.doc_id: r.value for r in got if r.key == "Title"} == urls
+
+
+def test_element_counts_of_every_page(spark, tmp_path):
+    sizes = {(1, 0): 5, (1, 1): 320, (1, 2): 321, (1, 3): 1000, (2, 1): 0, (2, 4): 0}
+    turns = [(conv, turn, "user", " ".join(["word"] * n)) for (conv, turn), n in sizes.items()]
+    got = rows_of(spark, tmp_path, "pdf_element_counts", conversations=(turns, TURNS))
+    want = {}
+    for (conv, turn), n in sizes.items():
+        for page in range(max(1, -(-n // 320))):
+            found = (-(-min(320, n - 320 * page) // 8), turn % 4 if page == 0 else 0, 0)
+            if any(found):
+                want[conv * 100 + turn, page] = found
+    assert {(r.doc_id, r.page): (r.n_text, r.n_paths, r.n_images) for r in got} == want
