@@ -10,6 +10,11 @@ tasks by hash and are handled in blocks that fit in memory; sorting a block by (
 path) lays out its subtrees' leaves in order. A node at that depth with two leaves or more
 is a repeat; runs of such nodes along a text are its maximal repeats.
 
+Suffixes are counted by minimizer before. Where a minimizer has more than HEAVY of them,
+the prefix is lengthened to the whole window: the key is the 64-bit path itself, a row has
+one window, and a group, which then holds equal windows only, is read as it comes and
+never held. So no group grows a block, however common its minimizer is in the corpus.
+
 Of suffixes with equal paths in one slice of a task, two go to the shuffle; more are known
 to be repeated there and then. So a passage that a third of all documents hold reaches its
 group as two rows of each slice.
@@ -31,6 +36,8 @@ GRAM = 8
 PATH_BYTES = 6
 #: Windows in a row at most, and bytes of rows that make a block.
 RUN, BLOCK = 1024, 12 << 20
+#: Windows of one minimizer beyond which its prefix is lengthened.
+HEAVY = 1 << 17
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -49,7 +56,8 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(breaks)))
 
 
-def _suffixes(part: pa.RecordBatch, span: int) -> pa.RecordBatch | None:
+def _windows(part: pa.RecordBatch, span: int) -> tuple[np.ndarray, ...] | None:
+    """Starts of windows, counts of rows, offsets of rows in words, minimizers, paths, and whether a window is sent: not the third or a later one of its kind here."""
     data, off = arrow_bytes(part.column("text"))
     s, e, woff = words(data, off)
     starts, counts = window_starts(woff, span)
@@ -60,25 +68,52 @@ def _suffixes(part: pa.RecordBatch, span: int) -> pa.RecordBatch | None:
     at = np.arange(len(hashes) - gram + 1)
     key = sliding_min(span_hashes(hashes, at, at + gram), span - gram + 1)[starts]
     path = span_hashes(hashes, starts, starts + span)
-    row = np.repeat(np.arange(len(counts)), counts)
     both = mix(key ^ (path * U(0x9E3779B97F4A7C15)))
     order = np.argsort(both, kind="stable")
     ordered = both[order]
-    sent = np.ones(len(both), bool)  # not the third or a later one of its kind here
+    sent = np.ones(len(both), bool)
     sent[order[2:]] = (ordered[2:] != ordered[1:-1]) | (ordered[2:] != ordered[:-2])
+    return starts, counts, woff, key, path, sent
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    """32 bits of minimizers, by which they are counted; one that shares them with a heavy one is lengthened too, and nothing but bytes is lost."""
+    return mix(key).astype(np.uint32).view(np.int32)
+
+
+def _sizes(part: pa.RecordBatch, span: int) -> pa.RecordBatch | None:
+    found = _windows(part, span)
+    if found is None:
+        return None
+    *_, key, _, sent = found
+    buckets, n = np.unique(_bucket(key[sent]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+
+def _suffixes(part: pa.RecordBatch, span: int, heavy: np.ndarray) -> pa.RecordBatch | None:
+    """Rows of neighbouring suffixes; n is 0 where the key is the path of one whole window."""
+    found = _windows(part, span)
+    if found is None:
+        return None
+    starts, counts, woff, key, path, sent = found
+    row = np.repeat(np.arange(len(counts)), counts)
+    whole = sent & np.isin(_bucket(key), heavy)
+    grouped = sent & ~whole
+    key = np.where(whole, path, key)
     breaks = np.ones(len(key), bool)
-    breaks[1:] = (row[1:] != row[:-1]) | (sent[1:] != sent[:-1]) | (sent[1:] & (key[1:] != key[:-1]))
+    breaks[1:] = (row[1:] != row[:-1]) | (sent[1:] != sent[:-1]) | (sent[1:] & (key[1:] != key[:-1])) | whole[1:] | whole[:-1]
     first, _ = _runs(breaks)
     breaks |= (np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))) % RUN == 0
     first, n = _runs(breaks)
-    whole = np.ascontiguousarray(path).view(np.uint8).reshape(-1, 8)[:, :PATH_BYTES]
-    sizes = np.where(sent[first], n * PATH_BYTES, 0)
+    octets = np.ascontiguousarray(path).view(np.uint8).reshape(-1, 8)[:, :PATH_BYTES]
+    sizes = np.where(grouped[first], n * PATH_BYTES, 0)
     ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    paths = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(whole[sent].tobytes())])
+    paths = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(octets[grouped].tobytes())])
     rows = pa.array(row[first])
     mark = part.column("mark").take(rows)
     keys = np.where(sent[first], key[first].view(np.int64), np.asarray(mark))  # what needs no group goes anywhere
-    return pa.RecordBatch.from_arrays([pa.array(keys), part.column("doc_id").take(rows), mark, pa.array(starts[first] - woff[row[first]]), pa.array(n.astype(np.int64)), paths], ["key", "doc_id", "mark", "first", "n", "paths"])
+    n = np.where(whole[first], 0, n).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys), part.column("doc_id").take(rows), mark, pa.array(starts[first] - woff[row[first]]), pa.array(n), paths], ["key", "doc_id", "mark", "first", "n", "paths"])
 
 
 def _repeats(block: pa.Table, span: int) -> pa.RecordBatch:
@@ -114,36 +149,83 @@ def _repeats(block: pa.Table, span: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks().take(take), block.column("mark").combine_chunks().take(take), pa.array(begin), pa.array(end)], ["doc_id", "mark", "begin", "end"])
 
 
-def repeated_spans(docs: DataFrame, span: int = 35) -> DataFrame:
-    """doc_id, mark, begin, end: runs of words covered by repeated windows, not merged; docs has doc_id, mark and text."""
+def _single(rows: pa.RecordBatch, span: int) -> pa.RecordBatch:
+    first = np.asarray(rows.column("first"))
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("mark"), pa.array(first), pa.array(first + span)], ["doc_id", "mark", "begin", "end"])
 
-    def suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _found(rows: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of rows ordered by key. Held are a block of groups and the last whole window."""
+    held, size, limit = [], 0, BLOCK
+    last, paired = None, False  # paired: the last whole window has the key of the one before
+    for batch in rows:
+        n, lengths = np.asarray(batch.column("n")), np.diff(arrow_bytes(batch.column("paths"))[1])
+        known, whole = batch.filter(pa.array((n > 0) & (lengths == 0))), batch.filter(pa.array(n == 0))
+        if known.num_rows:
+            yield _repeats(pa.Table.from_batches([known]), span)
+        if whole.num_rows:
+            if last is not None:
+                whole = pa.Table.from_batches([last, whole]).combine_chunks().to_batches()[0]
+            key = np.asarray(whole.column("key"))
+            same = np.zeros(len(key) + 1, bool)
+            same[0], same[1:-1] = paired, key[1:] == key[:-1]
+            last, paired = whole.slice(len(key) - 1), bool(same[-2])
+            hit = same[:-1] | same[1:]
+            hit[-1] = False
+            yield _single(whole.filter(pa.array(hit)), span)
+        batch = batch.filter(pa.array(lengths > 0))
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < limit:
+            continue
+        block = pa.Table.from_batches(held)
+        keys = np.asarray(block.column("key"))
+        end = int(np.searchsorted(keys, keys[-1]))
+        if end:
+            yield _repeats(block.slice(0, end), span)
+        held = block.slice(end).combine_chunks().to_batches()
+        size = sum(x.nbytes for x in held)
+        limit = max(BLOCK, 2 * size)
+    if held:
+        yield _repeats(pa.Table.from_batches(held), span)
+    if paired:
+        yield _single(last, span)
+
+
+def heavy_buckets(docs: DataFrame, span: int) -> np.ndarray:
+    """Buckets with more than HEAVY windows: no more of them than the corpus has windows, divided by HEAVY."""
+
+    def sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part in slices(batch, "text"):
-                found = _suffixes(part, span)
+                found = _sizes(part, span)
                 if found is not None:
                     yield found
 
-    def repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, limit = [], 0, BLOCK
+    found = docs.select("text").mapInArrow(sizes, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).select("bucket").toArrow()
+    return np.asarray(found.column("bucket").combine_chunks())
+
+
+def suffix_rows(docs: DataFrame, span: int) -> DataFrame:
+    """key, doc_id, mark, first, n, paths: the rows that are dealt out by key."""
+    heavy = heavy_buckets(docs, span)
+
+    def suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            held.append(batch)
-            size += batch.nbytes
-            if size < limit:
-                continue
-            block = pa.Table.from_batches(held)
-            keys = np.asarray(block.column("key"))
-            end = int(np.searchsorted(keys, keys[-1]))
-            if end:
-                yield _repeats(block.slice(0, end), span)
-            held = block.slice(end).combine_chunks().to_batches()
-            size = sum(x.nbytes for x in held)
-            limit = max(BLOCK, 2 * size)
-        if held:
-            yield _repeats(pa.Table.from_batches(held), span)
-
-    rows = docs.select("doc_id", "mark", "text").mapInArrow(suffixes, "key long, doc_id long, mark long, first long, n long, paths binary")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(repeats, "doc_id long, mark long, begin long, end long")
+            for part in slices(batch, "text"):
+                found = _suffixes(part, span, heavy)
+                if found is not None:
+                    yield found
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(suffixes, "key long, doc_id long, mark long, first long, n long, paths binary")
+
+
+def repeated_spans(docs: DataFrame, span: int = 35) -> DataFrame:
+    """doc_id, mark, begin, end: runs of words covered by repeated windows, not merged; docs has doc_id, mark and text."""
+    rows = suffix_rows(docs, span)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _found(x, span), "doc_id long, mark long, begin long, end long")
 
 
 def _squeezed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
