@@ -30,10 +30,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a word 5-shingle similarity of 0.8 or more, directly or not, the one of the least doc_id. Repeated rows are copies too."""
+    """Of documents linked by a word 5-shingle similarity of 0.8 or more, directly or not, the one of the least doc_id (null last) and mark. Repeated rows are copies too."""
     found = jaccard.similar_components(docs, 5, 80)
-    stay = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.coalesce("doc_id", "mark").alias("_key"), F.col("mark").alias("_mark")).distinct()
+    stay = found.where("stays").select(F.coalesce("doc_id", "mark").alias("_key"), F.col("mark").alias("_mark")).distinct()
     return _keyed(docs).join(stay, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
 
 

@@ -212,20 +212,22 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, mark, n_shingles, component_id of every row of docs (doc_id, text, ...); mark is xxhash64(text).
+    """doc_id, mark, n_shingles, component_id, stays of every row of docs (doc_id, text, ...); mark is xxhash64(text).
 
     A row's set: distinct k-word shingles, A-Z lowered; with fewer words, the whole
     sequence as one. Rows with 100 * |intersection| >= percent * |union| link; component_id
     is the least doc_id that a row reaches by links, itself included. Null and empty texts
     and texts without a word have the empty set and link with nothing: their component_id
-    is their doc_id. Repeated rows have equal sets and link. Rows that share a doc_id
-    count as one vertex. Where all rows of a component have a null doc_id, component_id
-    is null. Other columns are left out; an empty table gives no rows.
+    is their doc_id. Repeated rows have equal sets and link. Rows that share a doc_id but
+    have other sets do not link by that. Where all rows of a component have a null doc_id,
+    component_id is null. stays: whether the row has the least (doc_id, mark) of its
+    component, null doc_ids last; rows of the empty set all stay. Other columns are left
+    out; an empty table gives no rows.
     """
     own = docs.select("doc_id", "text")
     sets = written(shingle_rows(own, k, percent, common_elements(own, k)), "sets")
-    nodes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.min("doc_id").alias("doc"), F.first("front").alias("front"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes.select("h", "n", F.coalesce("doc", "h").alias("v"), "least", "doc", "front", "sketch"), "nodes")
+    nodes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least"), F.min("doc_id").alias("doc"), F.first("front").alias("front"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.select("h", "n", F.col("h").alias("v"), "least", "doc", "front", "sketch"), "nodes")
     light = boundary(nodes, percent)
     rows = signatures(nodes, light, percent).repartition("key").sortWithinPartitions("key", "n", "v")
     lists = written(rows.mapInArrow(lambda x: _lists(x, percent), "key long, pivot long, v long, n long, rank long, neighbour long"), "lists")
@@ -266,9 +268,10 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
 
 def _named(sets: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows with their component's least doc_id."""
-    named = nodes.join(roots, "v", "left").select("h", "n", "doc", F.coalesce("root", "v").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc").alias("component"))
-    named = named.join(least, "root").select("h", "n", "component")
+    """The rows with their component's least doc_id, and whether they stay."""
+    named = nodes.join(roots, "v", "left").select("h", "n", "doc", "least", F.coalesce("root", "v").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc").alias("component"), F.min("least").alias("first"))
+    named = named.join(least, "root").select("h", "n", "component", "first")
     done = sets.select("doc_id", "mark", "n", "h").join(named, ["h", "n"], "left")
-    return done.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    return done.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), ((F.col("n") == 0) | first).alias("stays"))
