@@ -232,11 +232,11 @@ class Document:
 
     def facet_outline(self) -> list[dict]:
         out, seen = [], set()
-        todo = [(self.get(self.catalog, "Outlines", dict) or {}, None, 0)]
+        todo = [(self.get(self.catalog, "Outlines", dict) or {}, None)]
         if self.locked:
             return []
         while todo:
-            holder, parent, depth = todo.pop()
+            holder, parent = todo.pop()
             value, nth, before = holder.get("First"), 0, None
             while value is not None:
                 node = self.objects.resolve(value)
@@ -256,8 +256,7 @@ class Document:
                 flags = self.get(node, "F", int) or 0
                 color = [number(self.objects.resolve(x)) or 0.0 for x in self.get(node, "C", list) or []]
                 out.append({"node": len(out), "parent": parent, "nth": nth, "title": text(self.get(node, "Title")), "is_open": (self.get(node, "Count", int) or 0) > 0, "is_italic": bool(flags & 1), "is_bold": bool(flags & 2), "color": color, "page": target["page"] if target else actions[0]["page"] if actions else None, "zoom": target["zoom"] if target else None})
-                if depth < self.objects.limits["depth"]:
-                    todo.append((node, len(out) - 1, depth + 1))
+                todo.append((node, len(out) - 1))
                 before, value, nth = node, node.get("Next"), nth + 1
         return out
 

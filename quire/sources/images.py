@@ -27,8 +27,12 @@ def unpack(data: bytes, width: int, height: int, parts: int, bits: int) -> np.nd
     return cells[:, : width * parts].reshape(height, width, parts).astype(np.float64)
 
 
+#: Colour spaces whose tint transforms, profiles or white points are not applied.
+UNCONVERTED = ("Separation", "DeviceN", "Lab", "CalGray", "CalRGB", "ICCBased")
+
+
 def colors(document, space, samples: np.ndarray, high: float) -> np.ndarray:
-    """RGB, from 0 to 1, of samples in a colour space; spaces of devices, Indexed, and ICC by their number of parts."""
+    """RGB, from 0 to 1, of samples in a colour space; spaces of devices and Indexed. Others are taken by their number of parts, with a diagnostic."""
     get = document.objects.resolve
     space = get(space)
     if isinstance(space, list) and space and str(get(space[0])) in ("Indexed", "I"):
@@ -38,6 +42,8 @@ def colors(document, space, samples: np.ndarray, high: float) -> np.ndarray:
         parts = _parts(document, inner)
         palette = np.frombuffer(table[: (top + 1) * parts].ljust((top + 1) * parts, b"\0"), np.uint8).reshape(-1, parts).astype(float)
         return colors(document, inner, palette[np.clip(np.rint(samples[..., 0]).astype(int), 0, top)], 255)
+    if isinstance(space, list) and space and (kind := str(get(space[0]))) in UNCONVERTED:
+        document.objects.note(f"image.colorspace.{kind}", "the samples are taken as gray, RGB or CMYK by their number of parts")
     x = samples / high
     parts = x.shape[-1]
     if parts == 4:
