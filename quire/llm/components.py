@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _near(edges: DataFrame) -> DataFrame:
@@ -13,10 +13,6 @@ def _near(edges: DataFrame) -> DataFrame:
     return edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
 
 
-def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    return pairs.join(least, "v")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """v, root: the least vertex that each vertex of an edge reaches; edges has longs v and u.
 
@@ -36,9 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
         # each vertex points to lesser ones only
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).where("v != u").distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        discard(before, large)
         new = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         if new == state:
             break
         state = new
-    return now.select("v", F.col("u").alias("root")).union(now.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
+    roots = written(now.select("v", F.col("u").alias("root")).union(now.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct()), "roots")
+    discard(now)
+    return roots
