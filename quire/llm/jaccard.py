@@ -48,6 +48,8 @@ COUNTERS = 1 << 24
 LIGHT = 24
 #: Sets of a list whose pairs are all listed; following sets that each one of a longer list is paired with; sets of a block.
 FEW, NEIGHBOURS, BLOCK = 8, 2, 2_048
+#: Rows of three longs that are broadcast; more are dealt out.
+BROADCAST = 500_000
 #: Words of sketches that are compared at once.
 AT_ONCE = 1 << 18
 #: Members that one copy of a pivot's text is compared with.
@@ -416,8 +418,9 @@ def _tried(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataF
     """a, b, both, any of pairs (a, b), by the texts of their sets' least rows. What is wanted is written first, so that a small part of the corpus is joined without dealing out the rest."""
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     wanted = written(nodes.select("v", "least.doc_id", "least.mark").join(ends, "v", "left_semi"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     small = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_squeezed, "doc_id long, mark long, text binary")
-    both = small.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark")))
+    both = small.alias("t").join(few.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark")))
     texts = written(both.groupBy("v").agg(F.min("text").alias("z")), "texts")
     out = written(verified(pairs, texts, k), "verified")
     discard(wanted, texts)

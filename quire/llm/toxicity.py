@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ TRAIN_ROWS = 10_000
 #: Training documents that a bucket must occur in to have a weight.
 LEAST_DOCS = 8
 EPOCHS, RATE, BIAS_RATE, BIAS = 100, 10.0, 0.5, -6.0
+#: Pairs of a sentence and a bucket that are handled at once, about.
+PAIRS = 1 << 19
 #: Weight of the penalty on the sum of weights, over the root of the number of documents.
 L1 = 0.011
 #: Sentences end at these bytes, and at the end of the text.
@@ -66,32 +69,56 @@ def noisy_or(scores: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(scores, 1 - 1e-12)), n))
 
 
-def fit(table: pa.Table, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights of the buckets, none negative, and the bias from text and toxic: accelerated proximal descent on the documents' mean log loss with an L1 penalty; deterministic."""
-    parts, n, seen = [], 0, np.zeros(FEATURES, np.int64)
-    for batch in table.to_batches():
+def features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text its number of sentences, and each distinct word's sentence and bucket."""
+    for batch in rows:
         for part in slices(batch, "text"):
-            sentence, bucket, doc, *_ = sentences(part.column("text"))
-            seen += np.bincount(np.unique(doc[sentence] * FEATURES + bucket) % FEATURES, minlength=FEATURES)
-            parts.append((sentence.astype(np.int32), bucket.astype(np.int32), (doc + n).astype(np.int32)))
-            n += part.num_rows
+            sentence, bucket, doc, *_, number = sentences(part.column("text"))
+            bounds = np.searchsorted(doc[sentence], np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (number[sentence], bucket)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(np.bincount(doc, minlength=part.num_rows).astype(np.int32)), *lists], ["doc_id", "toxic", "n", "sentence", "bucket"])
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each pair's sentence and bucket, each sentence's row, each row's label, of some rows at a time."""
+    size = np.asarray(pc.list_value_length(batch.column("bucket")))
+    part, at = np.cumsum(size, dtype=np.int64) // PAIRS, 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(part, part[at], "right")))
+        own = batch.slice(at, to - at)
+        n = np.asarray(own.column("n")).astype(np.int64)
+        sentence = np.asarray(own.column("sentence").flatten()) + np.repeat(np.cumsum(n) - n, size[at:to]).astype(np.int32)
+        yield sentence.astype(np.int32), np.asarray(own.column("bucket").flatten()), np.repeat(np.arange(to - at, dtype=np.int32), n), np.asarray(own.column("toxic"))
+        at = to
+
+
+def fit(rows: Iterator[pa.RecordBatch], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights of the buckets, none negative, and the bias from rows of `features`: accelerated proximal descent on the documents' mean log loss with an L1 penalty; deterministic for rows in a fixed order. Memory: 8 bytes for each pair of a sentence and a bucket that enough documents have."""
+    parts, n, seen = [], 0, np.zeros(FEATURES, np.int32)
+    for batch in rows:
+        for sentence, bucket, doc, toxic in _parts(batch):
+            own = np.unique(doc[sentence].astype(np.int64) * FEATURES + bucket)
+            seen += np.bincount(own % FEATURES, minlength=FEATURES).astype(np.int32)
+            parts.append((sentence, bucket.copy(), doc, toxic.copy()))
+            n += len(toxic)
     weights = np.zeros(FEATURES)
     used = np.flatnonzero(seen >= LEAST_DOCS)
     if not len(used):
         return weights, BIAS
     place = np.full(FEATURES, -1, np.int32)
     place[used] = np.arange(len(used))
-    parts = [(sentence[place[bucket] >= 0], place[bucket][place[bucket] >= 0], doc) for sentence, bucket, doc in parts]
-    labels = np.asarray(table.column("toxic").combine_chunks())
+    for i, (sentence, bucket, doc, toxic) in enumerate(parts):
+        bucket = place[bucket]
+        parts[i] = (sentence[bucket >= 0], bucket[bucket >= 0], doc, toxic)
     own, bias, near, near_bias, pace = np.zeros(len(used)), BIAS, np.zeros(len(used)), BIAS, 1.0
     penalty = L1 / n**0.5
     for _ in range(epochs):
-        scores = [_sigmoid(np.bincount(sentence, near[bucket], len(doc)) + near_bias) for sentence, bucket, doc in parts]
-        p = np.clip(noisy_or(np.concatenate(scores), np.concatenate([doc for *_, doc in parts]), n), 1e-6, 1 - 1e-6)
         slope, slope_bias = np.zeros(len(used)), 0.0
-        for score, (sentence, bucket, doc) in zip(scores, parts):
+        for sentence, bucket, doc, toxic in parts:
+            score = _sigmoid(np.bincount(sentence, near[bucket], len(doc)) + near_bias)
+            p = np.clip(noisy_or(score, doc, len(toxic)), 1e-6, 1 - 1e-6)
             # the loss falls by score for label 0, by -score * (1 - p) / p for label 1, for each sentence's logit
-            each = np.where(labels[doc] == 1, -score * (1 - p[doc]) / p[doc], score) / n
+            each = np.where(toxic[doc] == 1, -score * (1 - p[doc]) / p[doc], score) / n
             slope += np.bincount(bucket, each[sentence], len(used))
             slope_bias += each.sum()
         new = np.maximum(near - RATE * (slope + penalty), 0)
@@ -104,14 +131,28 @@ def fit(table: pa.Table, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights from docs (doc_id, text) with labels (doc_id, toxic); the driver gets `rows` texts at most."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("of_doc"), "toxic").collect()
-    if not own:
-        return np.zeros(FEATURES), BIAS
-    known = docs.sparkSession.createDataFrame(own, "of_doc long, toxic int")
+    """Weights from docs (doc_id, text) with labels (doc_id, toxic); `rows` texts at most.
+
+    Features are made by all tasks; one task on an executor fits, and the driver gets the
+    weights that are not zero. Labels without a doc_id or other than 0 and 1 do not count; of
+    several labels of a doc_id the largest does, of several texts the least. Null texts have
+    no sentence. Without any label the weights are zero.
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("of_doc"), "toxic")
     found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of_doc")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    return fit(found.orderBy("doc_id").toArrow(), epochs)
+    made = found.select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, n int, sentence array<int>, bucket array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = fit(batches, epochs)
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(weights[at], bias))], ["bucket", "weight"])
+
+    table = made.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "bucket long, weight double").toArrow()
+    at, weight = (table.column(c).to_numpy() for c in ("bucket", "weight"))
+    weights = np.zeros(FEATURES)
+    weights[at[at >= 0]] = weight[at >= 0]
+    return weights, float(weight[at < 0][0]) if len(at) else BIAS
 
 
 def _scored(part: pa.RecordBatch, table: np.ndarray, bias: float) -> tuple[np.ndarray, list, list, list]:
@@ -165,7 +206,11 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFra
 
 
 def drop_toxic(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all columns, whose score is below the threshold."""
+    """The rows of docs, with all columns, whose score is below the threshold.
+
+    Null and empty texts, and texts without a word, have score 0 and stay. Repeated rows are
+    judged alike. Columns may have any names beside doc_id and text; an empty table gives an empty one.
+    """
     sent = _model(docs, weights, bias)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
