@@ -30,8 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def made(rows: DataFrame, key: str, make: Callable[[dict], bytes], passwords: bool = False) -> DataFrame:
-    """doc_id and content, a file for each row."""
+def made(rows: DataFrame, key: str, make: Callable[[dict], bytes]) -> DataFrame:
+    """doc_id and content, a file for each row. Input that comes in fewer parts than there are cores is dealt out first."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(4 * cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,14 +99,14 @@ def pdf_predictor_md5(spark, sf_dir):
     return pdf.table(pdf.parse(files, ["attachments"], ["doc_id"]), "attachments", ["doc_id"]).select("doc_id", F.md5("data").alias("payload_md5"))
 
 
-@query("SELECT page_id AS doc_id, 'Title' AS key, left(url, 60) AS value FROM pages UNION ALL SELECT page_id, 'Author', 'page ' || page_id FROM pages")
+@query("SELECT page_id AS doc_id, 'Title' AS key, url AS value FROM pages UNION ALL SELECT page_id, 'Author', 'page ' || page_id FROM pages")
 def pdf_info(spark, sf_dir):
     files = made(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.text_pdf("", info={"Title": r["url"], "Author": f"page {r['page_id']}"}))
     return pdf.table(pdf.parse(files, ["info"], ["doc_id"]), "info", ["doc_id"])
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, role, left(text, 40) AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+WITH t AS (SELECT conv_id, turn, role, text AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
 r AS (SELECT *, max(CASE WHEN role = 'user' THEN i END) OVER (PARTITION BY conv_id ORDER BY i) AS root FROM t)
 SELECT conv_id AS doc_id, title, (CASE WHEN root IS NULL OR root = i THEN 0 ELSE 1 END)::INT AS depth, i::BIGINT AS preorder, 0::INT AS page FROM r
 """)
@@ -161,7 +164,7 @@ def pdf_layers_text(spark, sf_dir):
     return text.join(red, "doc_id")
 
 
-@query(f"WITH w AS (SELECT conv_id, turn, {_WORDS} AS words FROM conversations), d AS (SELECT conv_id * 100 + turn AS doc_id, len(words) AS n, turn FROM w) SELECT doc_id, 0 AS page, least((n + 7) // 8, 40)::BIGINT AS n_text, (turn % 4)::BIGINT AS n_paths, 0::BIGINT AS n_images FROM d WHERE n > 0 OR turn % 4 > 0")
+@query(f"WITH w AS (SELECT conv_id, turn, {_WORDS} AS words FROM conversations), d AS (SELECT conv_id * 100 + turn AS doc_id, len(words) AS n, turn FROM w), p AS (SELECT *, unnest(range(greatest((n + 319) // 320, 1))) AS page FROM d) SELECT doc_id, page::INT AS page, least((n - 320 * page + 7) // 8, 40)::BIGINT AS n_text, CASE WHEN page = 0 THEN turn % 4 ELSE 0 END::BIGINT AS n_paths, 0::BIGINT AS n_images FROM p WHERE n > 0 OR turn % 4 > 0")
 def pdf_element_counts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "turn", "text")
     files = made(turns, "id", lambda r: synth.text_pdf(r["text"], links=["u"] * (r["turn"] % 4)))

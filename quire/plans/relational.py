@@ -116,7 +116,7 @@ def _grid(spark, sf_dir) -> DataFrame:
     return words.select("doc", "page", (F.lit(1000) - F.col("seq")).alias("seq"), "text", x.alias("left"), y.cast("double").alias("bottom"), (x + 20).alias("right"), (y + 10).cast("double").alias("top"), F.lit(10.0).alias("font_size"), F.lit(False).alias("space_after"), F.lit(False).alias("rtl"), F.lit(False).alias("vertical"))
 
 
-_GRID = "WITH w AS (SELECT conv_id AS doc, turn::INT AS page, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS word, unnest(range(len(regexp_extract_all(text, '[a-zA-Z]+')))) AS i FROM conversations), g AS (SELECT * FROM w WHERE i < 40)"
+_GRID = "WITH w AS (SELECT conv_id AS doc, turn::INT AS page, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS word, unnest(range(len(regexp_extract_all(text, '[a-zA-Z]+')))) AS i FROM conversations), g AS (SELECT * FROM w)"
 
 
 @query(f"{_GRID}, lines AS (SELECT doc, page, i // 8 AS line, string_agg(word, ' ' ORDER BY i) AS text FROM g GROUP BY ALL) SELECT doc, page, string_agg(text, chr(10) ORDER BY line) AS text FROM lines GROUP BY ALL")
@@ -149,7 +149,7 @@ def layout_columns(spark, sf_dir):
 
 @query(
     """
-WITH RECURSIVE runs AS (SELECT l_orderkey AS doc, l_linenumber AS seq, 700 - l_linenumber * 2.0 - l_tax * 20 AS bottom, 8.0 + l_linenumber % 3 AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY 700 - l_linenumber * 2.0 - l_tax * 20 DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem WHERE l_orderkey % 7 = 0),
+WITH RECURSIVE runs AS (SELECT l_orderkey AS doc, l_linenumber AS seq, 700 - l_linenumber * 2.0 - l_tax * 20 AS bottom, 8.0 + l_linenumber % 3 AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY 700 - l_linenumber * 2.0 - l_tax * 20 DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
 fold AS (SELECT doc, k, [bottom] AS firsts, [size] AS sizes FROM runs WHERE k = 1
  UNION ALL SELECT r.doc, r.k, CASE WHEN len(near) > 0 THEN firsts ELSE list_append(firsts, r.bottom) END, CASE WHEN len(near) > 0 THEN sizes ELSE list_append(sizes, r.size) END
  FROM (SELECT f.*, r2.bottom AS b2, r2.size AS s2, r2.k AS k2, list_filter(range(1, len(f.firsts) + 1), lambda i: abs(f.firsts[i] - r2.bottom) <= greatest(1.5, 0.35 * greatest(f.sizes[i], r2.size))) AS near FROM fold f JOIN runs r2 ON r2.doc = f.doc AND r2.k = f.k + 1) x JOIN runs r ON r.doc = x.doc AND r.k = x.k2)
@@ -157,7 +157,7 @@ SELECT doc, max(len(firsts))::BIGINT AS n_lines FROM fold GROUP BY doc
 """
 )
 def line_cluster(spark, sf_dir):
-    """Greedy lines of jittered runs of every order; the rule is order-dependent. The SQL clusters the orders divisible by seven only."""
+    """Greedy lines of jittered runs of every order; the rule is order-dependent."""
     from pyspark.sql import Window
 
     items = table(spark, sf_dir, "lineitem")
@@ -170,7 +170,7 @@ def line_cluster(spark, sf_dir):
 
 @query(
     """
-WITH s AS (SELECT user_id, list(value > 50 ORDER BY event_id) AS states, (['AnyOn', 'AllOn', 'AnyOff', 'AllOff', 'Odd'])[(user_id % 5 + 1)::INT] AS policy FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+WITH s AS (SELECT user_id, list(value > 50 ORDER BY event_id) AS states, (['AnyOn', 'AllOn', 'AnyOff', 'AllOff', 'Odd'])[(user_id % 5 + 1)::INT] AS policy FROM events GROUP BY user_id)
 SELECT user_id, policy, CASE policy WHEN 'AllOn' THEN list_bool_and(states) WHEN 'AnyOff' THEN NOT list_bool_and(states) WHEN 'AllOff' THEN NOT list_bool_or(states) ELSE list_bool_or(states) END AS visible FROM s
 """
 )
@@ -401,7 +401,7 @@ for _mode in (*blends.SEPARABLE, *blends.NON_SEPARABLE):
     _add_blend(_mode)
 
 
-@query(f"WITH p AS ({_PAIR}) SELECT {_KEY_SQL}, round((0.3 + 0.5 - 0.3 * 0.5), 4) AS alpha, round(((1 - 0.5) * 0.3 * b0 + 0.5 * ((1 - 0.3) * s0 + 0.3 * b0 * s0)) / (0.3 + 0.5 - 0.3 * 0.5), 4) + 0.0 AS red FROM p")
+@query(f"WITH p AS ({_PAIR}) SELECT {_KEY_SQL}, round((0.3 + 0.5 - 0.3 * 0.5)::DOUBLE, 4) AS alpha, round(((1 - 0.5) * 0.3 * b0 + 0.5 * ((1 - 0.3) * s0 + 0.3 * b0 * s0)) / (0.3 + 0.5 - 0.3 * 0.5), 4) + 0.0 AS red FROM p")
 def alpha_composite(spark, sf_dir):
     rows, x = _numbers(spark, sf_dir)
     red, _, _, alpha = blends.composite("Multiply", tuple(x[:3]), F.lit(0.3), (x[3], x[3], x[3]), F.lit(0.5))
@@ -494,7 +494,7 @@ def glyph_concat(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), "").alias("text"))
 
 
-@query("WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS types FROM events WHERE event_id % 4 = 0 GROUP BY user_id), o AS (SELECT user_id, unnest(['click', 'view', 'purchase']) AS export, unnest(range(3)) AS i, types FROM u) SELECT user_id, export, CASE WHEN user_id % 3 = 0 THEN i = user_id % 2 ELSE list_contains(types, export) END AS selected FROM o")
+@query("WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS types FROM events GROUP BY user_id), o AS (SELECT user_id, unnest(['click', 'view', 'purchase']) AS export, unnest(range(3)) AS i, types FROM u) SELECT user_id, export, CASE WHEN user_id % 3 = 0 THEN i = user_id % 2 ELSE list_contains(types, export) END AS selected FROM o")
 def choice_options(spark, sf_dir):
     options = F.array(*[F.struct(F.lit(x).alias("export"), F.lit(x).alias("display")) for x in ("click", "view", "purchase")])
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
