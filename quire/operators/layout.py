@@ -23,57 +23,84 @@ def median_size(runs: Column) -> Column:
     return let(F.array_sort(F.transform(runs, lambda r: r["font_size"])), lambda sizes: F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")))
 
 
+def by_seq(runs: Column) -> Column:
+    """Runs in the order of the content."""
+    return F.array_sort(runs, lambda a, b: a["seq"] - b["seq"])
+
+
+def _sorted(runs: Column, *keys) -> Column:
+    """Runs by keys, each a function of a run and 1 or -1 for falling; equal ones stay in their order."""
+    numbered = F.transform(runs, lambda r, i: F.struct(r.alias("run"), i.alias("nth")))
+
+    def compare(a: Column, b: Column) -> Column:
+        out = a["nth"] - b["nth"]
+        for key, sign in reversed(keys):
+            out = F.when(key(a["run"]) < key(b["run"]), -sign).when(key(a["run"]) > key(b["run"]), sign).otherwise(out)
+        return out
+
+    return F.transform(F.array_sort(numbered, compare), lambda x: x["run"])
+
+
 def lines_of(runs: Column) -> Column:
-    """Runs by falling bottom, put greedily into the first line whose first run is near enough: an array of lines, each an array of runs."""
-    ordered = F.array_sort(runs, lambda a, b: F.when(a["bottom"] > b["bottom"], -1).when(a["bottom"] < b["bottom"], 1).otherwise(a["seq"] - b["seq"]))
+    """Runs by falling bottom, equal ones in their order, put greedily into the first line whose first run is near enough: an array of lines, each an array of runs."""
 
     def place(lines: Column, run: Column) -> Column:
         near = F.transform(lines, lambda line: F.abs(line[0]["bottom"] - run["bottom"]) <= F.greatest(F.lit(1.5), 0.35 * F.greatest(line[0]["font_size"], run["font_size"])))
         put = lambda at: F.when(at == 0, F.concat(lines, F.array(F.array(run)))).otherwise(F.transform(lines, lambda line, i: F.when(i == at - 1, F.concat(line, F.array(run))).otherwise(line)))
         return let(F.array_position(near, True), put)
 
-    return let(ordered, lambda o: F.aggregate(o, F.filter(F.array(o), lambda x: F.lit(False)), place))
+    return let(_sorted(runs, (lambda r: r["bottom"], -1)), lambda o: F.aggregate(o, F.filter(F.array(o), lambda x: F.lit(False)), place))
 
 
 def line_order(line: Column) -> Column:
-    """A line's runs from the left, or from the right where most are right-to-left."""
+    """A line's runs from the left, or from the right where most are right-to-left; equal ones stay in their order, by falling bottom."""
     backward = F.size(F.filter(line, lambda r: r["rtl"])) > F.floor(F.size(line) / 2)
-    from_left = F.array_sort(line, lambda a, b: F.when(a["left"] < b["left"], -1).when(a["left"] > b["left"], 1).otherwise(a["seq"] - b["seq"]))
-    from_right = F.array_sort(line, lambda a, b: F.when(a["right"] > b["right"], -1).when(a["right"] < b["right"], 1).otherwise(a["seq"] - b["seq"]))
-    return F.when(backward, from_right).otherwise(from_left)
+    return F.when(backward, _sorted(line, (lambda r: r["right"], -1))).otherwise(_sorted(line, (lambda r: r["left"], 1)))
 
 
 def physical_order(runs: Column) -> Column:
     """Horizontal runs line by line, then vertical ones from the right and from the top."""
     flat = F.flatten(F.transform(lines_of(F.filter(runs, lambda r: ~r["vertical"])), line_order))
-    upright = F.array_sort(F.filter(runs, lambda r: r["vertical"]), lambda a, b: F.when(a["right"] > b["right"], -1).when(a["right"] < b["right"], 1).when(a["top"] > b["top"], -1).when(a["top"] < b["top"], 1).otherwise(a["seq"] - b["seq"]))
+    upright = _sorted(F.filter(runs, lambda r: r["vertical"]), (lambda r: r["right"], -1), (lambda r: r["top"], -1))
     return F.concat(flat, upright)
 
 
-def column_split(runs: Column) -> Column:
-    """The x that parts two columns: the middle of the widest gap between run centres, if it is over 4 median sizes and both sides have several rows; else null. The first of equal gaps."""
-    centre = lambda r: (r["left"] + r["right"]) / 2
-    rows = lambda side: F.size(F.array_distinct(F.transform(F.filter(runs, side), lambda r: F.bround(r["bottom"], 0))))
+def _centre(run: Column) -> Column:
+    return (run["left"] + run["right"]) / 2
 
-    def widest(centres: Column) -> Column:
-        gap = lambda i: F.struct((F.get(centres, i) - F.get(centres, i - 1)).alias("gap"), (-i).alias("first"), ((F.get(centres, i) + F.get(centres, i - 1)) / 2).alias("at"))
-        return F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(centres) - 1, F.lit(1))), gap), lambda g: g["gap"].isNotNull()))
 
-    def chosen(w: Column) -> Column:
-        return F.when((w["gap"] > 4 * median_size(runs)) & (rows(lambda r: centre(r) < w["at"]) > 1) & (rows(lambda r: centre(r) >= w["at"]) > 1), w["at"])
+def _several_rows(side: Column) -> Column:
+    """Whether a run's bottom is away from the first one's by over 2 and over half the larger size."""
+    return F.exists(side, lambda r: F.abs(r["bottom"] - side[0]["bottom"]) > F.greatest(F.lit(2.0), 0.5 * F.greatest(r["font_size"], side[0]["font_size"])))
 
-    return let(let(F.array_sort(F.transform(runs, centre)), widest), chosen)
+
+def column_split(ordered: Column) -> Column:
+    """How many of the runs, ordered by centre, are in the left of two columns: up to the widest of the gaps between centres that are over 4 median sizes and have several rows at both sides, the first of equal ones; null without one."""
+    n = F.size(ordered)
+    gap = lambda i: _centre(F.get(ordered, i)) - _centre(F.get(ordered, i - 1))
+
+    def widest(median: Column) -> Column:
+        wide = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.coalesce(gap(i) > 4 * median, F.lit(False)))
+        fit = F.filter(wide, lambda i: _several_rows(F.slice(ordered, F.lit(1), i)) & _several_rows(F.slice(ordered, i + 1, n - i)))
+        return -F.array_max(F.transform(fit, lambda i: F.struct(gap(i).alias("gap"), (-i).alias("at"))))["at"]
+
+    return let(median_size(ordered), widest)
 
 
 def reading_order(runs: Column) -> Column:
-    """Physical order within each of two columns, if there are two."""
+    """Physical order within each of two columns, if there are two; of pages with under four runs or with vertical ones, physical order."""
+
+    def parted(ordered: Column) -> Column:
+        halves = lambda at: F.when(at.isNull(), physical_order(runs)).otherwise(F.concat(physical_order(F.slice(ordered, F.lit(1), at)), physical_order(F.slice(ordered, at + 1, F.size(ordered)))))
+        return let(column_split(ordered), halves)
+
+    plain = (F.size(runs) < 4) | F.exists(runs, lambda r: r["vertical"])
+    return F.when(plain, physical_order(runs)).otherwise(let(_sorted(runs, (_centre, 1)), parted))
 
-    def parted(at: Column) -> Column:
-        left = F.filter(runs, lambda r: (r["left"] + r["right"]) / 2 < at)
-        right = F.filter(runs, lambda r: (r["left"] + r["right"]) / 2 >= at)
-        return F.when(at.isNull(), physical_order(runs)).otherwise(F.concat(physical_order(left), physical_order(right)))
 
-    return let(column_split(runs), parted)
+def _trimmed(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
 
 
 def joined(runs: Column) -> Column:
@@ -86,24 +113,23 @@ def joined(runs: Column) -> Column:
     def between(r: Column, p: Column, i: Column) -> Column:
         moved = F.when(r["vertical"], F.abs(r["right"] - p["right"])).otherwise(F.abs(r["bottom"] - p["bottom"]))
         new_line = (r["vertical"] != p["vertical"]) | (moved > F.greatest(F.lit(2.0), 0.6 * F.greatest(r["font_size"], p["font_size"])))
-        gap = F.when(r["vertical"], p["bottom"] - r["top"]).when(r["rtl"] & p["rtl"], p["left"] - r["right"]).otherwise(r["left"] - p["right"])
+        gap = F.when(r["vertical"], p["bottom"] - r["top"]).when(r["rtl"], p["left"] - r["right"]).otherwise(r["left"] - p["right"])
         space = p["space_after"] | (gap > F.greatest(F.lit(1.0), 0.15 * F.least(r["font_size"], p["font_size"])))
         return F.when(i == 0, "").when(new_line, "\n").when(space, " ").otherwise("")
 
-    return F.trim(F.array_join(F.transform(runs, lambda r, i: F.concat(separator(r, i), F.rtrim(r["text"]))), ""))
+    return _trimmed(F.array_join(F.transform(runs, lambda r, i: F.concat(separator(r, i), F.rtrim(r["text"]))), ""))
 
 
 def raw_text(runs: Column) -> Column:
     """Texts in the order of the content, a space only where a run says so."""
-    ordered = F.array_sort(runs, lambda a, b: a["seq"] - b["seq"])
-    return F.trim(F.array_join(F.transform(ordered, lambda r: F.concat(F.rtrim(r["text"]), F.when(r["space_after"], " ").otherwise(""))), ""))
+    return _trimmed(F.array_join(F.transform(by_seq(runs), lambda r: F.concat(F.rtrim(r["text"]), F.when(r["space_after"], " ").otherwise(""))), ""))
 
 
 def page_text(runs: DataFrame, by: list[str], layout: str = "physical", area: tuple[float, float, float, float] | None = None) -> DataFrame:
     """by and text of each page; layout is raw, physical or reading. Runs are ordered before those outside the area (left, bottom, right, top) go."""
     pages = runs.groupBy(*by).agg(F.collect_list(F.struct(*RUN)).alias("runs"))
-    order = {"raw": lambda x: F.array_sort(x, lambda a, b: a["seq"] - b["seq"]), "physical": physical_order, "reading": reading_order}[layout]
-    pages = pages.select(*by, order(F.col("runs")).alias("runs"))
+    order = {"raw": lambda x: x, "physical": physical_order, "reading": reading_order}[layout]
+    pages = pages.select(*by, let(by_seq(F.col("runs")), order).alias("runs"))
     if area:
         low_x, low_y, high_x, high_y = area
         pages = pages.select(*by, F.filter("runs", lambda r: (r["left"] <= high_x) & (r["right"] >= low_x) & (r["bottom"] <= high_y) & (r["top"] >= low_y)).alias("runs"))

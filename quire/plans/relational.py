@@ -165,7 +165,7 @@ def line_cluster(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     runs = items.select(F.col("l_orderkey").alias("doc"), nth.alias("seq"), F.lit("x").alias("text"), F.lit(0.0).alias("left"), bottom.alias("bottom"), F.lit(1.0).alias("right"), bottom.alias("top"), (8.0 + F.col("l_linenumber") % 3).alias("font_size"), F.lit(False).alias("space_after"), F.lit(False).alias("rtl"), F.lit(False).alias("vertical"))
     pages = runs.groupBy("doc").agg(F.collect_list(F.struct(*layout.RUN)).alias("runs"))
-    return pages.select("doc", F.size(layout.lines_of(F.col("runs"))).cast("long").alias("n_lines"))
+    return pages.select("doc", F.size(layout.lines_of(layout.by_seq(F.col("runs")))).cast("long").alias("n_lines"))
 
 
 @query(

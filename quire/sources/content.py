@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 
 from .filters import decode
@@ -99,13 +98,16 @@ def page_content(objects, page: dict) -> bytes:
     return b"\n".join(out)
 
 
+#: Code points that are taken for right-to-left.
+RTL = ((0x590, 0x8FF), (0xFB1D, 0xFDFF), (0xFE70, 0xFEFF), (0x10800, 0x10FFF))
+
+
 def is_rtl(text: str) -> bool:
-    """Whether the first strong letter is of a right-to-left script."""
+    """Whether a character of the right-to-left blocks comes before any other letter."""
     for c in text:
-        kind = unicodedata.bidirectional(c)
-        if kind in ("R", "AL"):
+        if any(low <= ord(c) <= high for low, high in RTL):
             return True
-        if kind == "L":
+        if c.isalpha():
             return False
     return False
 
@@ -269,27 +271,29 @@ class Page:
     def show(self, data: bytes, s: State, tm, resources: dict, visible: bool):
         """A run of the shown string, and the matrix after it."""
         font = s.font or self.font(resources, "")
-        start, text, last_space = tm, "", False
-        for glyph, width, tall, space in font.glyphs(data):
-            text += glyph
-            extra = s.spacing + (s.word if space else 0)
-            step = (0, tall * s.size + extra) if font.vertical else ((width * s.size + extra) * s.scale, 0)
-            tm = multiply((1, 0, 0, 1, *step), tm)
-            last_space = glyph.isspace()
-        if visible and text.strip():
-            a, b = multiply(start, s.ctm), multiply(tm, s.ctm)
-            up = s.size
-            lift = multiply((1, 0, 0, 1, 0, s.rise), a)
-            end = multiply((1, 0, 0, 1, 0, s.rise), b)
-            corners = [apply(lift, 0, 0), apply(end, 0, 0), apply(lift, up if font.vertical else 0, 0 if font.vertical else up), apply(end, up if font.vertical else 0, 0 if font.vertical else up)]
+        glyphs = font.glyphs(data)
+        text = "".join([g[0] for g in glyphs])
+        spacing = s.spacing * len(glyphs) + (s.word * sum(g[3] for g in glyphs) if s.word else 0.0)
+        if font.vertical:
+            x, y = 0.0, sum(g[2] for g in glyphs) * s.size - spacing
+        else:
+            x, y = (sum(g[1] for g in glyphs) * s.size + spacing) * s.scale, 0.0
+        seen = text.rstrip() if visible else ""
+        if seen:
+            m = multiply(tm, s.ctm)
+            if font.vertical:
+                half = s.size * 0.5 * s.scale
+                box = (-half, min(0.0, y) + s.rise, half, max(0.0, y) + s.rise)
+            else:
+                box = (min(0.0, x), font.descent * s.size + s.rise, max(0.0, x), font.ascent * s.size + s.rise)
+            corners = [apply(m, a, b) for a in box[::2] for b in box[1::2]]
             xs, ys = [c[0] for c in corners], [c[1] for c in corners]
-            dx, dy = b[4] - a[4], b[5] - a[5]
-            size = abs(s.size) * math.hypot(a[2], a[3])
+            (from_x, from_y), (to_x, to_y) = apply(m, 0.0, 0.0), apply(m, x, y)
             self.runs.append({
-                "seq": len(self.runs), "text": text.rstrip(), "left": min(xs), "bottom": min(ys), "right": max(xs), "top": max(ys), "rotation": round(math.degrees(math.atan2(dy, dx))) % 360,
-                "space_after": last_space, "font_name": font.base, "font_size": size, "vertical": font.vertical, "rtl": is_rtl(text),
+                "seq": len(self.runs), "text": seen, "left": min(xs), "bottom": min(ys), "right": max(xs), "top": max(ys), "rotation": round(math.degrees(math.atan2(to_y - from_y, to_x - from_x))) % 360,
+                "space_after": text[-1].isspace(), "font_name": font.base, "font_size": s.size, "vertical": font.vertical, "rtl": is_rtl(seen),
             })
-        return tm
+        return multiply((1, 0, 0, 1, x, y), tm)
 
 
 def _corners(m, x: float, y: float, w: float, h: float) -> list:

@@ -323,19 +323,19 @@ class Document:
         p = self.pages[i]
         return Page(self, p["dict"], p["Resources"] if isinstance(p["Resources"], dict) else {})
 
-    def facet_content(self) -> dict[str, list[dict]]:
-        """runs, fonts, elements, images and operators of all pages, each page interpreted once."""
+    def facet_content(self, wanted: set[str]) -> dict[str, list[dict]]:
+        """Those of runs, fonts, elements, images and operators that are wanted, of all pages, each page interpreted once."""
         out: dict[str, list[dict]] = {"runs": [], "fonts": [], "elements": [], "images": [], "operators": []}
         for i in range(len(self.pages)):
             page = self.page(i)
             out["runs"] += [{"page": i, **r} for r in page.runs]
-            out["elements"] += [{"page": i, "seq": e["seq"], "parent": e["parent"], "kind": e["kind"], "paint": e.get("paint"), "mode": e.get("mode"), "color": list(e.get("color") or [])} for e in page.elements]
-            out["operators"] += [{"page": i, "seq": k, "operator": op, "operands": n} for k, (op, n) in enumerate(page.operators)]
+            out["elements"] += "elements" in wanted and [{"page": i, "seq": e["seq"], "parent": e["parent"], "kind": e["kind"], "paint": e.get("paint"), "mode": e.get("mode"), "color": list(e.get("color") or [])} for e in page.elements] or []
+            out["operators"] += "operators" in wanted and [{"page": i, "seq": k, "operator": op, "operands": n} for k, (op, n) in enumerate(page.operators)] or []
             resources = self.pages[i]["Resources"]
-            for name in sorted(self.get(resources, "Font", dict) or {}) if isinstance(resources, dict) else []:
+            for name in sorted(self.get(resources, "Font", dict) or {}) if "fonts" in wanted and isinstance(resources, dict) else []:
                 f = page.font(resources, name)
                 out["fonts"].append({"page": i, "resource": name, "base": f.base, "subtype": f.subtype, "encoding": f.encoding, "embedded": f.embedded, "is_subset": f.is_subset, "to_unicode": f.to_unicode is not None})
-            for e in page.elements:
+            for e in page.elements if "images" in wanted else []:
                 if e["kind"] == "image" and e["parent"] is None:
                     out["images"].append({"page": i, "seq": e["seq"], **image_facts(self, e["image"], resources if isinstance(resources, dict) else {})})
         return out

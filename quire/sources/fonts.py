@@ -12,6 +12,9 @@ from .objects import Lexer, Keyword, Name, PdfError, Stream
 HELVETICA = "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 1015 667 667 722 722 667 611 778 722 278 500 667 556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584"
 HELVETICA_BOLD = "278 333 474 556 556 889 722 238 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 333 333 584 584 584 611 975 722 722 722 722 667 611 778 722 278 556 722 611 833 722 778 667 778 722 667 611 722 667 944 667 667 611 333 278 333 584 556 333 556 611 556 611 556 333 611 611 278 278 556 278 889 611 611 611 611 389 556 333 611 556 778 556 556 500 389 280 389 584"
 TIMES = "250 333 408 500 500 833 778 180 333 333 500 564 250 333 250 278 500 500 500 500 500 500 500 500 500 500 278 278 564 564 564 444 921 722 667 667 722 611 556 722 722 333 389 722 611 889 722 722 556 722 667 556 611 722 722 944 722 722 611 333 278 333 469 500 333 444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541"
+TIMES_BOLD = "250 333 555 500 500 1000 833 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 930 722 667 722 722 667 611 778 778 389 500 778 667 944 722 778 611 778 722 556 667 722 722 1000 722 722 667 333 278 333 581 500 333 500 556 444 556 444 333 500 556 278 333 556 278 833 556 500 556 556 444 389 333 556 500 722 500 500 444 394 220 394 520"
+TIMES_ITALIC = "250 333 420 500 500 833 778 214 333 333 500 675 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 675 675 675 500 920 611 611 667 722 611 611 722 722 333 444 667 556 833 667 722 611 722 611 500 556 722 611 833 611 556 556 389 278 389 422 500 333 500 500 444 500 444 278 500 500 278 278 444 278 722 500 500 500 500 389 389 278 500 444 667 444 444 389 400 275 400 541"
+TIMES_BOLD_ITALIC = "250 389 555 500 500 833 778 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 832 667 667 667 722 667 667 722 778 389 500 667 611 889 722 722 611 722 667 556 611 722 667 889 667 611 611 333 278 333 570 500 333 500 500 444 500 444 333 500 556 278 278 500 278 778 556 500 500 500 389 389 278 556 444 667 500 444 389 348 220 348 570"
 # What the standard encoding has other than ASCII in its lower half, and glyph names that say no letter.
 GLYPHS = {"space": " ", "fi": "fi", "fl": "fl", "ff": "ff", "ffi": "ffi", "ffl": "ffl", "hyphen": "-", "period": ".", "comma": ",", "quotesingle": "'", "quoteright": "’", "quoteleft": "‘", "quotedblleft": "“", "quotedblright": "”", "bullet": "•", "endash": "–", "emdash": "—", "Euro": "€", "colon": ":", "semicolon": ";", "exclam": "!", "question": "?", "parenleft": "(", "parenright": ")", "slash": "/", "germandbls": "ß", "adieresis": "ä", "odieresis": "ö", "udieresis": "ü", "eacute": "é", "egrave": "è", "agrave": "à", "ccedilla": "ç", "ntilde": "ñ", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", ".notdef": ""}
 
@@ -22,7 +25,9 @@ def core_widths(base: str) -> list[float] | None:
     plain = re.sub(r"^[A-Z]{6}\+", "", base)
     if "Courier" in plain:
         return [600.0] * 95
-    table = HELVETICA_BOLD if plain.startswith("Helvetica-Bold") else HELVETICA if plain.startswith(("Helvetica", "Arial")) else TIMES if plain.startswith("Times") else None
+    bold, slanted = "Bold" in plain, "Italic" in plain or "Oblique" in plain
+    times = {(False, False): TIMES, (True, False): TIMES_BOLD, (False, True): TIMES_ITALIC, (True, True): TIMES_BOLD_ITALIC}
+    table = (HELVETICA_BOLD if bold else HELVETICA) if plain.startswith(("Helvetica", "Arial")) else times[bold, slanted] if plain.startswith("Times") else None
     return [float(x) for x in table.split()] if table else None
 
 
@@ -133,6 +138,8 @@ class Font:
         self.inner = objects.resolve(down[0]) if down else {}
         self.inner = self.inner if isinstance(self.inner, dict) else {}
         described = get(self.inner if self.composite else spec, "FontDescriptor", dict) or {}
+        metric = lambda k, other: other if (got := get(described, k, float)) is None else got / 1000
+        self.ascent, self.descent = metric("Ascent", 0.8), metric("Descent", -0.2)
         self.embedded = next((k for k in ("FontFile", "FontFile2", "FontFile3") if get(described, k, Stream)), None)
         if self.composite:
             self.map = CMap.parse(decode(encoding, objects, limit)) if isinstance(encoding, Stream) else CMap()
@@ -166,7 +173,8 @@ class Font:
         core = core_widths(self.base) if not self.widths else None
         if core:
             self.widths = {32 + i: w for i, w in enumerate(core)}
-        self.default = get(described, "MissingWidth", float) or 0.0
+        missing = get(described, "MissingWidth", float)
+        self.default = (600.0 if "Courier" in self.base else 500.0) if missing is None else missing
         if self.subtype == "Type3":
             matrix = [objects.resolve(x) for x in get(spec, "FontMatrix", list) or []]
             self.scale = float(matrix[0]) if matrix else 0.001

@@ -58,7 +58,7 @@ def facets_of(content: bytes, facets: list[str], owner: str | None = None, user:
     out: dict = {"error": None, **{f: None for f in facets}}
     try:
         document = Document(bytes(content), owner, user, repair, limits)
-        whole = document.facet_content() if not document.locked and set(facets) & set(CONTENT) else {}
+        whole = document.facet_content(set(facets)) if not document.locked and set(facets) & set(CONTENT) else {}
         for f in sorted(facets, key=lambda x: x == "diagnostics"):
             out[f] = whole.get(f, []) if f in CONTENT else [] if document.locked and f in ("annotations", "labels") else getattr(document, f"facet_{f}")()
     except PdfError as e:

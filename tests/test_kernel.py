@@ -47,11 +47,11 @@ def test_text_strings():
 
 
 def test_simple_page_with_base_font():
-    r = runs(one_page(b"BT /F1 12 Tf 72 700 Td (Hello managed PDF) Tj ET", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"))
-    assert [x["text"] for x in r] == ["Hello managed PDF"] and (r[0]["left"], r[0]["bottom"]) == (72, 700)
+    r = runs(one_page(b"BT /F1 12 Tf 72 700 Td (A page of words) Tj ET", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"))
+    assert [x["text"] for x in r] == ["A page of words"] and (r[0]["left"], r[0]["bottom"], r[0]["top"]) == (72, pytest.approx(697.6), pytest.approx(709.6))
 
 
-@pytest.mark.parametrize(("base", "units"), [("Courier", 1800), ("Courier-Bold", 1800), ("Helvetica", 1999), ("Helvetica-Bold", 2111), ("Times-Roman", 2000)])
+@pytest.mark.parametrize(("base", "units"), [("Courier", 1800), ("Courier-Bold", 1800), ("Helvetica", 1999), ("Helvetica-Bold", 2111), ("Times-Roman", 2000), ("Times-Bold", 2111), ("Times-Italic", 1833), ("Times-BoldItalic", 1945)])
 def test_base_font_widths(base, units):
     r = runs(one_page(b"BT /F1 48 Tf <696D57> Tj ET", b"<< /Type /Font /Subtype /Type1 /BaseFont /%s >>" % base.encode()))
     assert r[0]["right"] - r[0]["left"] == pytest.approx(units * 48 / 1000)
@@ -62,7 +62,7 @@ def test_differences_and_widths():
     document = Document(one_page(b"BT /F1 10 Tf <414243> Tj ET", font))
     r = document.page(0).runs
     assert r[0]["text"] == "fi€\U0001f600" and r[0]["right"] == pytest.approx(13.5)
-    assert document.facet_content()["fonts"][0]["is_subset"] and document.facet_content()["fonts"][0]["embedded"] is None
+    assert document.facet_content({"fonts"})["fonts"][0]["is_subset"] and document.facet_content({"fonts"})["fonts"][0]["embedded"] is None
 
 
 UNICODE = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfrange <0001> <0002> [<0041> <0062>] endbfrange 1 beginbfchar <0003> <0063> endbfchar"
@@ -80,12 +80,12 @@ def test_composite_fonts(encoding, more, rotation, width, height):
 
 
 def test_custom_cmap():
-    cmap = b"/CMapName /Fixture-H def 1 begincodespacerange <00> <ff> endcodespacerange 1 begincidrange <20> <22> 100 endcidrange"
+    cmap = b"/CMapName /Own-Map def 1 begincodespacerange <00> <ff> endcodespacerange 1 begincidrange <20> <22> 100 endcidrange"
     font = b"<< /Type /Font /Subtype /Type0 /BaseFont /Made /Encoding 8 0 R /DescendantFonts [6 0 R] /ToUnicode 7 0 R >>"
     unicode = b"1 begincodespacerange <00> <ff> endcodespacerange 1 beginbfrange <20> <22> <0041> endbfrange"
     document = Document(one_page(b"BT /F1 20 Tf <202122> Tj ET", font, {6: b"<< /Subtype /CIDFontType2 /W [100 102 600] >>", 7: stream(unicode), 8: stream(cmap)}))
     r = document.page(0).runs
-    assert r[0]["text"] == "ABC" and r[0]["right"] == pytest.approx(36) and document.facet_content()["fonts"][0]["encoding"] == "Fixture-H"
+    assert r[0]["text"] == "ABC" and r[0]["right"] == pytest.approx(36) and document.facet_content({"fonts"})["fonts"][0]["encoding"] == "Own-Map"
 
 
 def test_type3_matrix():
@@ -179,10 +179,10 @@ def aes256_file(revision: int) -> bytes:
     ue = crypto.aes_cbc(key, digest(b"user", b"saltsalt"), zero, encrypt=True)
     o = digest(b"owner", b"validatO", u) + b"validatO" + b"saltsalO"
     oe = crypto.aes_cbc(key, digest(b"owner", b"saltsalO", u), zero, encrypt=True)
-    payload = b"attachment payload"
+    payload = b"some bytes to keep"
     padded = payload + bytes([16 - len(payload) % 16]) * (16 - len(payload) % 16)
     secret = bytes(range(16)) + crypto.aes_cbc(padded, key, bytes(range(16)), encrypt=True)
-    name = b"hello.txt" + bytes([7]) * 7
+    name = b"notes.txt" + bytes([7]) * 7
     name = bytes(16) + crypto.aes_cbc(name, key, bytes(16), encrypt=True)
     spec = b"<< /Filter /Standard /V 5 /R %d /Length 256 /P -4 /U <%s> /UE <%s> /O <%s> /OE <%s> /CF << /StdCF << /CFM /AESV3 >> >> /StmF /StdCF /StrF /StdCF >>" % (revision, u.hex().encode(), ue.hex().encode(), o.hex().encode(), oe.hex().encode())
     return build({1: b"<< /Type /Catalog /Pages 2 0 R /Names << /EmbeddedFiles << /Names [<%s> 3 0 R] >> >> >>" % name.hex().encode(), 2: b"<< /Type /Pages /Kids [] /Count 0 >>", 3: b"<< /F <%s> /EF << /F 4 0 R >> >>" % name.hex().encode(), 4: stream(secret, b"/Type /EmbeddedFile"), 5: spec}, b"/Root 1 0 R /Encrypt 5 0 R /ID [<00> <00>]")
@@ -194,7 +194,7 @@ def test_aes_256(revision):
     for owner, user, is_owner in ((None, "user", False), ("owner", None, True)):
         document = Document(data, owner, user)
         assert not document.locked and document.security.owner is is_owner
-        assert [(x["name"], x["data"]) for x in document.facet_attachments()] == [("hello.txt", b"attachment payload")]
+        assert [(x["name"], x["data"]) for x in document.facet_attachments()] == [("notes.txt", b"some bytes to keep")]
     locked = Document(data, user_password="wrong")
     assert locked.locked and locked.pages == [] and locked.facet_encryption()[0]["revision"] == revision
 

@@ -22,20 +22,40 @@ def text(spark, rows, how, **more):
 
 
 def test_layouts(spark):
-    rows = [run(0, "Left one", 50, 700), run(1, "Right one", 300, 700), run(2, "Left two", 50, 680), run(3, "Right two", 300, 680)]
-    assert text(spark, rows, "raw") == "Left oneRight oneLeft twoRight two"
-    assert text(spark, rows, "physical") == "Left one Right one\nLeft two Right two"
-    assert text(spark, rows, "reading") == "Left one\nLeft two\nRight one\nRight two"
-    assert text(spark, rows, "physical", area=(0.0, 691.0, 100.0, 720.0)) == "Left one"
-    hebrew = [run(0, "ב", 50, 700, rtl=True), run(1, "א", 90, 700, rtl=True)]
-    assert text(spark, hebrew, "raw") == "בא" and text(spark, hebrew, "physical") == "אב"
+    rows = [run(0, "Oats and rye", 50, 700), run(1, "Plums, pears", 300, 700), run(2, "Barley too", 50, 680), run(3, "Figs at last", 300, 680)]
+    assert text(spark, rows, "raw") == "Oats and ryePlums, pearsBarley tooFigs at last"
+    assert text(spark, rows, "physical") == "Oats and rye Plums, pears\nBarley too Figs at last"
+    assert text(spark, rows, "reading") == "Oats and rye\nBarley too\nPlums, pears\nFigs at last"
+    assert text(spark, rows, "physical", area=(0.0, 691.0, 100.0, 720.0)) == "Oats and rye"
+    hebrew = [run(0, "ש", 50, 700, rtl=True), run(1, "ל", 90, 700, rtl=True)]
+    assert text(spark, hebrew, "raw") == "של" and text(spark, hebrew, "physical") == "לש"
     mixed = [run(0, "down", 500, 600, 10.0, 90.0, vertical=True), run(1, "flat ", 10, 700)]
     assert text(spark, mixed, "physical") == "flat\ndown"
 
 
 def test_lines_follow_their_first_run(spark):
     rows = [run(i, c, 50 * i, b) for i, (c, b) in enumerate(zip("abc", (700.0, 697.0, 694.0)))]
-    assert text(spark, rows, "physical").count("\n") == 1
+    runs = pages(spark, rows).groupBy("doc").agg(F.collect_list(F.struct(*layout.RUN)).alias("runs"))
+    lines = runs.select(layout.lines_of(layout.by_seq(F.col("runs"))).alias("lines")).first().lines
+    assert ["".join(r.text for r in line) for line in lines] == ["ab", "c"]
+    assert text(spark, rows, "physical") == "a b c"  # neighbours are too near for a line feed
+
+
+def test_columns_part_at_the_widest_gap_that_has_rows_at_both_sides(spark):
+    rows = [run(0, "t0", 50, 700), run(1, "t1", 200, 700), run(2, "t2", 50, 680), run(3, "t3", 500, 680), run(4, "t4", 200, 680)]
+    assert text(spark, rows, "reading") == "t0\nt2\nt1\nt4 t3"
+    assert text(spark, rows[:3], "reading") == "t0 t1\nt2"
+
+
+def test_equal_lefts_keep_falling_bottoms(spark):
+    rows = [run(0, "a", 50, 700, 10.0), run(1, "b", 70, 700, 10.0), run(2, "c", 50, 701, 10.0), run(3, "d", 70, 701, 10.0)]
+    assert text(spark, rows, "physical") == "ca db"
+
+
+def test_spaces_go_by_the_run_at_hand(spark):
+    rows = [run(0, "abc", 50, 700, 40.0), run(1, "אב", 120, 700, 40.0, rtl=True)]
+    assert text(spark, rows, "physical") == "abcאב"
+    assert text(spark, [run(0, "x", 50, 700), run(1, "y\t\u2003", 95, 700)], "physical") == "x y"
 
 
 def test_labels(spark):
