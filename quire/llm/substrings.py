@@ -1,23 +1,25 @@
 """Exact repeated passages by prefix-partitioned suffix trees.
 
 Every place where `span` words follow is a suffix, of which the tree is needed down to
-depth `span`. A suffix is keyed by a prefix of variable length: it runs from the suffix's
-first word to the end of the window's minimizer, the `GRAM`-word sequence of least hash in
-it. Equal windows have equal minimizers, so a group - all suffixes of one minimizer - holds
-each of its subtrees whole. Neighbouring suffixes mostly share their minimizer and travel
-as one row, with a 48-bit fingerprint of each one's path down to depth `span`. Groups go to
-tasks by hash and are handled in blocks that fit in memory; sorting a block by (prefix,
-path) lays out its subtrees' leaves in order. A node at that depth with two leaves or more
-is a repeat; runs of such nodes along a text are its maximal repeats.
-
-Suffixes are counted by minimizer before. Where a minimizer has more than HEAVY of them,
-the prefix is lengthened to the whole window: the key is the 64-bit path itself, a row has
-one window, and a group, which then holds equal windows only, is read as it comes and
-never held. So no group grows a block, however common its minimizer is in the corpus.
-
-Of suffixes with equal paths in one slice of a task, two go to the shuffle; more are known
-to be repeated there and then. So a passage that a third of all documents hold reaches its
-group as two rows of each slice.
+depth `span`. Suffixes are parted by prefixes of variable length: one runs from the
+suffix's first word to the end of the window's minimizer, the `GRAM`-word sequence of least
+hash in it. Equal windows have equal minimizers, so a group - all suffixes of one
+minimizer - holds each of its subtrees whole. Prefixes are planned: suffixes are counted by
+minimizer, and where more than HEAVY share one, the prefix is lengthened to the whole
+window. A first exchange, of places only, tells which prefixes have two suffixes or more;
+subtrees of a single leaf end there.
+
+For the others the words themselves go to the groups, neighbouring suffixes of a text in
+one row. A block of whole groups that fits in memory is put in order by names of doubling
+length: each sequence of 2k words is named by the rank of the names of its two halves, so
+that names order suffixes as their words do. Two neighbouring leaves with one name at depth
+`span` have an internal node that deep above them, which is a repeat; runs of such leaves
+along a text are its maximal repeats. Words are told apart by 64-bit hashes, each by itself;
+windows of a lengthened prefix are compared as bytes and never held.
+
+Of suffixes with equal windows in one slice of a task, two go on; more are known to be
+repeated there and then. So a passage that a third of all documents hold reaches its group
+as two rows of each slice.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, arrow_bytes, mix, slices, span_hashes, window_starts, word_hashes, words
+from .kernels import arrow_bytes, mix, slices, span_hashes, window_starts, word_hashes, words
 
 GRAM = 8
-PATH_BYTES = 6
 #: Windows in a row at most, and bytes of rows that make a block.
-RUN, BLOCK = 1024, 12 << 20
+RUN, BLOCK = 1024, 4 << 20
+#: Kinds of rows: suffixes of one prefix, known repeats, a window that is its prefix.
+PARTED, KNOWN, WHOLE = 0, 1, 2
 #: Windows of one minimizer beyond which its prefix is lengthened.
 HEAVY = 1 << 17
 
@@ -57,7 +61,7 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(part: pa.RecordBatch, span: int) -> tuple[np.ndarray, ...] | None:
-    """Starts of windows, counts of rows, offsets of rows in words, minimizers, paths, and whether a window is sent: not the third or a later one of its kind here."""
+    """Starts of windows, counts of rows, offsets of rows in words, minimizers, digests, and how often a window of its kind came before, 2 at most."""
     data, off = arrow_bytes(part.column("text"))
     s, e, woff = words(data, off)
     starts, counts = window_starts(woff, span)
@@ -68,12 +72,12 @@ def _windows(part: pa.RecordBatch, span: int) -> tuple[np.ndarray, ...] | None:
     at = np.arange(len(hashes) - gram + 1)
     key = sliding_min(span_hashes(hashes, at, at + gram), span - gram + 1)[starts]
     path = span_hashes(hashes, starts, starts + span)
-    both = mix(key ^ (path * U(0x9E3779B97F4A7C15)))
-    order = np.argsort(both, kind="stable")
-    ordered = both[order]
-    sent = np.ones(len(both), bool)
-    sent[order[2:]] = (ordered[2:] != ordered[1:-1]) | (ordered[2:] != ordered[:-2])
-    return starts, counts, woff, key, path, sent
+    order = np.argsort(path, kind="stable")
+    ordered = path[order]
+    before = np.zeros(len(path), np.int8)
+    before[order[1:]] += ordered[1:] == ordered[:-1]
+    before[order[2:]] += (ordered[2:] == ordered[1:-1]) & (ordered[2:] == ordered[:-2])
+    return starts, counts, woff, key, path, before
 
 
 def _bucket(key: np.ndarray) -> np.ndarray:
@@ -85,95 +89,136 @@ def _sizes(part: pa.RecordBatch, span: int) -> pa.RecordBatch | None:
     found = _windows(part, span)
     if found is None:
         return None
-    *_, key, _, sent = found
-    buckets, n = np.unique(_bucket(key[sent]), return_counts=True)
+    *_, key, _, before = found
+    buckets, n = np.unique(_bucket(key[before < 2]), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
 
+_PLACES = "key long, doc_id long, mark long, first long, n int, kind int"
+_NAMES = [x.split()[0] for x in _PLACES.split(", ")]
+
+
 def _suffixes(part: pa.RecordBatch, span: int, heavy: np.ndarray) -> pa.RecordBatch | None:
-    """Rows of neighbouring suffixes; n is 0 where the key is the path of one whole window."""
+    """Rows of neighbouring suffixes of one prefix; no two windows of a row are equal."""
     found = _windows(part, span)
     if found is None:
         return None
-    starts, counts, woff, key, path, sent = found
+    starts, counts, woff, key, path, before = found
     row = np.repeat(np.arange(len(counts)), counts)
-    whole = sent & np.isin(_bucket(key), heavy)
-    grouped = sent & ~whole
-    key = np.where(whole, path, key)
+    kind = np.where(before == 2, KNOWN, np.where(np.isin(_bucket(key), heavy), WHOLE, PARTED)).astype(np.int32)
+    key = np.where(kind == WHOLE, path, key)
     breaks = np.ones(len(key), bool)
-    breaks[1:] = (row[1:] != row[:-1]) | (sent[1:] != sent[:-1]) | (sent[1:] & (key[1:] != key[:-1])) | whole[1:] | whole[:-1]
+    breaks[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]) | ((kind[1:] == PARTED) & (key[1:] != key[:-1])) | (before[1:] == 1) | (kind[1:] == WHOLE)
     first, _ = _runs(breaks)
     breaks |= (np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))) % RUN == 0
     first, n = _runs(breaks)
-    octets = np.ascontiguousarray(path).view(np.uint8).reshape(-1, 8)[:, :PATH_BYTES]
-    sizes = np.where(grouped[first], n * PATH_BYTES, 0)
-    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    paths = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(octets[grouped].tobytes())])
     rows = pa.array(row[first])
     mark = part.column("mark").take(rows)
-    keys = np.where(sent[first], key[first].view(np.int64), np.asarray(mark))  # what needs no group goes anywhere
-    n = np.where(whole[first], 0, n).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(keys), part.column("doc_id").take(rows), mark, pa.array(starts[first] - woff[row[first]]), pa.array(n), paths], ["key", "doc_id", "mark", "first", "n", "paths"])
+    keys = np.where(kind[first] == KNOWN, np.asarray(mark), key[first].view(np.int64))  # what needs no group goes anywhere
+    return pa.RecordBatch.from_arrays([pa.array(keys), part.column("doc_id").take(rows), mark, pa.array(starts[first] - woff[row[first]]), pa.array(n.astype(np.int32)), pa.array(kind[first])], _NAMES)
+
+
+def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ordered by key, those whose prefix another one has too, and what is known. One row is held."""
+    last, paired = None, False  # paired: the last row has the key of the one before
+    for batch in rows:
+        known = batch.filter(pa.array(np.asarray(batch.column("kind")) == KNOWN))
+        if known.num_rows:
+            yield known
+        batch = batch.filter(pa.array(np.asarray(batch.column("kind")) != KNOWN))
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        key = np.asarray(batch.column("key"))
+        same = np.zeros(len(key) + 1, bool)
+        same[0], same[1:-1] = paired, key[1:] == key[:-1]
+        last, paired = batch.slice(len(key) - 1), bool(same[-2])
+        hit = same[:-1] | same[1:]
+        hit[-1] = False
+        yield batch.filter(pa.array(hit))
+    if paired:
+        yield last
+
+
+def _with_words(rows: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """The places of each text with the words of their windows, joined by one space; twice where the text comes in several rows."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in rows:
+        for part in slices(batch, "z", 1 << 19):
+            out: list[tuple] = []
+            for doc, mark, z, times, places in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "z", "times", "places"))):
+                own = unpack(z).split() if z is not None else []
+                for x in places:
+                    row = (x["key"], doc, mark, x["first"], x["n"], x["kind"], b" ".join(own[x["first"] : x["first"] + x["n"] + span - 1]) if x["kind"] != KNOWN else None)
+                    out += [row] * min(2 if x["kind"] != KNOWN else 1, times)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [*_NAMES, "words"])
+
+
+def names_at(hashes: np.ndarray, length: int) -> np.ndarray:
+    """The rank, among all sequences of `length` values, of that which begins at each place, by doubling; places at the end have none."""
+    _, name = np.unique(hashes, return_inverse=True)
+    at = 1
+    while at < length:
+        step = min(at, length - at)
+        _, name = np.unique(name[:-step].astype(np.int64) << 32 | name[step:], return_inverse=True)
+        at += step
+    return name
+
+
+def _spans(doc, mark, begin, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc, mark, pa.array(begin), pa.array(end)], ["doc_id", "mark", "begin", "end"])
 
 
 def _repeats(block: pa.Table, span: int) -> pa.RecordBatch:
     """Maximal runs of repeated windows in whole groups."""
     block = block.combine_chunks()
-    key, n, first = (np.asarray(block.column(c)) for c in ("key", "n", "first"))
-    data, off = arrow_bytes(block.column("paths"))
-    known = np.diff(off) == 0
-    n_sent = np.where(known, 0, n)
-    row = np.repeat(np.arange(len(n)), n_sent)
-    path = np.zeros((len(row), 8), np.uint8)
-    path[:, :PATH_BYTES] = data.reshape(-1, PATH_BYTES)
-    path = path.view(U).ravel()
-    own = key.view(U)[row]
-    both = mix(own ^ (path * U(0x9E3779B97F4A7C15)))
-    order = np.argsort(both)
-    same = np.zeros(len(row) + 1, bool)  # same[i]: leaves i - 1 and i have one parent at the depth
-    a, b = order[:-1], order[1:]
-    same[1:-1] = (both[a] == both[b]) & (own[a] == own[b]) & (path[a] == path[b])
-    hit = np.zeros(len(row), bool)
-    hit[order] = same[:-1] | same[1:]
-    place = np.arange(len(row)) - np.repeat(np.cumsum(n_sent) - n_sent, n_sent)
-    breaks = hit.copy()
-    breaks[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
-    at = np.flatnonzero(breaks)
-    last = hit.copy()
-    last[:-1] &= ~hit[1:] | (row[1:] != row[:-1])
-    to = np.flatnonzero(last)
-    rows = np.concatenate([np.flatnonzero(known), row[at]])
-    begin = np.concatenate([first[known], first[row[at]] + place[at]])
-    end = np.concatenate([first[known] + n[known] - 1, first[row[at]] + place[to]]) + span
-    take = pa.array(rows)
-    return pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks().take(take), block.column("mark").combine_chunks().take(take), pa.array(begin), pa.array(end)], ["doc_id", "mark", "begin", "end"])
-
-
-def _single(rows: pa.RecordBatch, span: int) -> pa.RecordBatch:
-    first = np.asarray(rows.column("first"))
-    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("mark"), pa.array(first), pa.array(first + span)], ["doc_id", "mark", "begin", "end"])
+    n, first = (np.asarray(block.column(c)).astype(np.int64) for c in ("n", "first"))
+    data, off = arrow_bytes(block.column("words"))
+    s, e, woff = words(data, off)
+    starts, _ = window_starts(woff, span)
+    name = names_at(word_hashes(data, s, e), span)[starts]
+    order = np.argsort(name, kind="stable")
+    ordered = name[order]
+    deep = np.zeros(len(name) + 1, bool)  # deep[i]: leaves i - 1 and i have a node at the depth above them
+    deep[1:-1] = ordered[1:] == ordered[:-1]
+    hit = np.zeros(len(name), bool)
+    hit[order] = deep[:-1] | deep[1:]
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begins, ends = hit.copy(), hit.copy()
+    begins[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
+    ends[:-1] &= ~hit[1:] | (row[1:] != row[:-1])
+    at, to = np.flatnonzero(begins), np.flatnonzero(ends)
+    take = pa.array(row[at])
+    return _spans(block.column("doc_id").combine_chunks().take(take), block.column("mark").combine_chunks().take(take), first[row[at]] + place[at], first[row[at]] + place[to] + span)
+
+
+def _plain(rows: pa.RecordBatch, span: int) -> pa.RecordBatch:
+    first, n = (np.asarray(rows.column(c)).astype(np.int64) for c in ("first", "n"))
+    return _spans(rows.column("doc_id"), rows.column("mark"), first, first + n - 1 + span)
 
 
 def _found(rows: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of rows ordered by key. Held are a block of groups and the last whole window."""
+    """Repeated windows of rows ordered by key and words. Held are a block of groups and the last whole window."""
     held, size, limit = [], 0, BLOCK
-    last, paired = None, False  # paired: the last whole window has the key of the one before
+    last, paired = None, False  # paired: the last whole window equals the one before
     for batch in rows:
-        n, lengths = np.asarray(batch.column("n")), np.diff(arrow_bytes(batch.column("paths"))[1])
-        known, whole = batch.filter(pa.array((n > 0) & (lengths == 0))), batch.filter(pa.array(n == 0))
+        kind = np.asarray(batch.column("kind"))
+        known, whole, batch = (batch.filter(pa.array(kind == k)) for k in (KNOWN, WHOLE, PARTED))
         if known.num_rows:
-            yield _repeats(pa.Table.from_batches([known]), span)
+            yield _plain(known, span)
         if whole.num_rows:
             if last is not None:
                 whole = pa.Table.from_batches([last, whole]).combine_chunks().to_batches()[0]
-            key = np.asarray(whole.column("key"))
-            same = np.zeros(len(key) + 1, bool)
-            same[0], same[1:-1] = paired, key[1:] == key[:-1]
-            last, paired = whole.slice(len(key) - 1), bool(same[-2])
+            text, many = whole.column("words"), whole.num_rows
+            same = np.zeros(many + 1, bool)
+            same[0], same[1:-1] = paired, np.asarray(pc.equal(text.slice(1), text.slice(0, many - 1)))
+            last, paired = whole.slice(many - 1), bool(same[-2])
             hit = same[:-1] | same[1:]
             hit[-1] = False
-            yield _single(whole.filter(pa.array(hit)), span)
-        batch = batch.filter(pa.array(lengths > 0))
+            yield _plain(whole.filter(pa.array(hit)), span)
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -187,11 +232,11 @@ def _found(rows: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch
             yield _repeats(block.slice(0, end), span)
         held = block.slice(end).combine_chunks().to_batches()
         size = sum(x.nbytes for x in held)
-        limit = max(BLOCK, 2 * size)
+        limit = max(BLOCK, 2 * size)  # a group of HEAVY suffixes at most
     if held:
         yield _repeats(pa.Table.from_batches(held), span)
     if paired:
-        yield _single(last, span)
+        yield _plain(last, span)
 
 
 def heavy_buckets(docs: DataFrame, span: int) -> np.ndarray:
@@ -209,7 +254,7 @@ def heavy_buckets(docs: DataFrame, span: int) -> np.ndarray:
 
 
 def suffix_rows(docs: DataFrame, span: int) -> DataFrame:
-    """key, doc_id, mark, first, n, paths: the rows that are dealt out by key."""
+    """key, doc_id, mark, first, n, kind: the places that are dealt out by prefix."""
     heavy = heavy_buckets(docs, span)
 
     def suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +264,18 @@ def suffix_rows(docs: DataFrame, span: int) -> DataFrame:
                 if found is not None:
                     yield found
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(suffixes, "key long, doc_id long, mark long, first long, n long, paths binary")
+    return docs.select("doc_id", "mark", "text").mapInArrow(suffixes, _PLACES)
 
 
 def repeated_spans(docs: DataFrame, span: int = 35) -> DataFrame:
     """doc_id, mark, begin, end: runs of words covered by repeated windows, not merged; docs has doc_id, mark and text."""
-    rows = suffix_rows(docs, span)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _found(x, span), "doc_id long, mark long, begin long, end long")
+    shared = suffix_rows(docs, span).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, _PLACES)
+    places = shared.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("key", "first", "n", "kind")).alias("places"))
+    small = docs.select("doc_id", "mark", "text").mapInArrow(_squeezed, "doc_id long, mark long, text binary")
+    texts = small.groupBy(F.col("doc_id").alias("of_doc"), F.col("mark").alias("of_mark")).agg(F.first("text").alias("z"), F.count(F.lit(1)).alias("times"))
+    both = texts.join(places, F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_mark") == F.col("mark")))
+    rows = both.select("doc_id", "mark", "z", "times", "places").mapInArrow(lambda x: _with_words(x, span), f"{_PLACES}, words binary")
+    return rows.repartition("key").sortWithinPartitions("key", "words").mapInArrow(lambda x: _found(x, span), "doc_id long, mark long, begin long, end long")
 
 
 def _squeezed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +298,7 @@ def remove_repeats(docs: DataFrame, span: int = 35) -> DataFrame:
     """
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.struct(F.lit(1).alias("one"), *others).alias("rest"))
-    spans = repeated_spans(own, span).groupBy(F.col("doc_id").alias("of_doc"), F.col("mark").alias("of_mark")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    spans = repeated_spans(own, span).groupBy(F.col("doc_id").alias("of_doc"), F.col("mark").alias("of_mark")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     schema = own.schema
     kind = schema["rest"].dataType.simpleString()
     small = own.mapInArrow(_squeezed, f"doc_id long, text binary, mark long, rest {kind}")

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from brute import repeats_removed
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def test_groups_are_bounded(spark, monkeypatch):
         monkeypatch.setattr(substrings, "HEAVY", heavy)
         sizes = Counter()
         for r in substrings.suffix_rows(docs, 35).collect():
-            if r.paths:
+            if r.kind == substrings.PARTED:
                 sizes[r.key] += r.n
         return max(sizes.values())
 
@@ -40,3 +41,18 @@ def test_lengthened_prefixes_give_the_same(spark, monkeypatch, heavy, span):
     rows = banners()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), span).collect()}
     assert got == {i: want for (i, _), want in zip(rows, repeats_removed(rows, span))}
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 8, 13])
+def test_names_order_suffixes_as_their_words_do(length):
+    values = np.random.default_rng(length).integers(0, 3, 400).astype(np.uint64)
+    names = substrings.names_at(values, length)
+    words = [tuple(values[i : i + length].tolist()) for i in range(len(values) - length + 1)]
+    ranks = {w: i for i, w in enumerate(sorted(set(words)))}
+    assert names.tolist() == [ranks[w] for w in words]
+
+
+def test_periodic_and_repeated_rows(spark):
+    rows = [(1, "a " * 90), (2, "a b " * 50), (3, "x " + "a b " * 20), (4, " ".join(map(str, range(70)))), (4, " ".join(map(str, range(70)))), (None, " ".join(map(str, range(200, 260)))), (None, " ".join(map(str, range(200, 260)))), (5, None), (6, "")]
+    got = sorted(map(str, ((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 35).collect())))
+    assert got == sorted(map(str, ((i, *want) for (i, _), want in zip(rows, repeats_removed(rows, 35)))))
