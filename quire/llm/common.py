@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,6 +55,15 @@ def discard(*tables: DataFrame) -> None:
             _remove(table.sparkSession, file)
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system, where it is asked for it: a Python worker serves other tasks after this one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker does, across tasks."""
     module = sys.modules.setdefault("_quire_worker_cache", types.ModuleType("_quire_worker_cache"))

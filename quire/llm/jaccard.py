@@ -418,9 +418,12 @@ def _tried(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataF
     """a, b, both, any of pairs (a, b), by the texts of their sets' least rows. What is wanted is written first, so that a small part of the corpus is joined without dealing out the rest."""
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     wanted = written(nodes.select("v", "least.doc_id", "least.mark").join(ends, "v", "left_semi"), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    small = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_squeezed, "doc_id long, mark long, text binary")
-    both = small.alias("t").join(few.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark")))
+    own = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    join = lambda left, right: left.alias("t").join(right.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark")))
+    if wanted.count() <= BROADCAST:
+        both = join(own, F.broadcast(wanted)).select("v", "text").mapInArrow(_squeezed, "v long, text binary")
+    else:
+        both = join(own.mapInArrow(_squeezed, "doc_id long, mark long, text binary"), wanted)
     texts = written(both.groupBy("v").agg(F.min("text").alias("z")), "texts")
     out = written(verified(pairs, texts, k), "verified")
     discard(wanted, texts)

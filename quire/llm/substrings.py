@@ -38,6 +38,8 @@ from .kernels import arrow_bytes, mix, slices, span_hashes, window_starts, word_
 GRAM = 8
 #: Windows in a row at most, and bytes of rows that make a block.
 RUN, BLOCK = 1024, 4 << 20
+#: Bytes of text in which equal windows are found before they are sent.
+SLICE = 4 << 20
 #: Kinds of rows: suffixes of one prefix, known repeats, a window that is its prefix.
 PARTED, KNOWN, WHOLE = 0, 1, 2
 #: Windows of one minimizer beyond which its prefix is lengthened.
@@ -244,7 +246,7 @@ def heavy_buckets(docs: DataFrame, span: int) -> np.ndarray:
 
     def sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found = _sizes(part, span)
                 if found is not None:
                     yield found
@@ -259,7 +261,7 @@ def suffix_rows(docs: DataFrame, span: int) -> DataFrame:
 
     def suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found = _suffixes(part, span, heavy)
                 if found is not None:
                     yield found
@@ -280,7 +282,7 @@ def repeated_spans(docs: DataFrame, span: int = 35) -> DataFrame:
 
 def _squeezed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text column as zstd frames."""
-    pack = zstandard.ZstdCompressor(3).compress
+    pack = zstandard.ZstdCompressor(9).compress
     for batch in rows:
         for part in slices(batch, "text", 4 << 20):
             at = part.schema.get_field_index("text")

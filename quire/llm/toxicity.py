@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
 from .kernels import ALNUM, LOWER, U, arrow_bytes, letters, slices, span_hashes, words
 
 #: Buckets that words and their stems are hashed into, a power of two; stems are first bytes of longer words, so many.
@@ -25,8 +26,8 @@ TRAIN_ROWS = 10_000
 #: Training documents that a bucket must occur in to have a weight.
 LEAST_DOCS = 8
 EPOCHS, RATE, BIAS_RATE, BIAS = 100, 10.0, 0.5, -6.0
-#: Pairs of a sentence and a bucket that are handled at once, about.
-PAIRS = 1 << 19
+#: Buckets of sentences, and bytes of text, that are handled at once, about.
+PAIRS, FEATURE_BYTES = 1 << 18, 1 << 18
 #: Weight of the penalty on the sum of weights, over the root of the number of documents.
 L1 = 0.011
 #: Sentences end at these bytes, and at the end of the text.
@@ -70,57 +71,73 @@ def noisy_or(scores: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text its number of sentences, and each distinct word's sentence and bucket."""
+    """Of each text the number of distinct buckets of each sentence, and the buckets, sentence by sentence."""
     for batch in rows:
-        for part in slices(batch, "text"):
-            sentence, bucket, doc, *_, number = sentences(part.column("text"))
-            bounds = np.searchsorted(doc[sentence], np.arange(part.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (number[sentence], bucket)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(np.bincount(doc, minlength=part.num_rows).astype(np.int32)), *lists], ["doc_id", "toxic", "n", "sentence", "bucket"])
-
-
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each pair's sentence and bucket, each sentence's row, each row's label, of some rows at a time."""
-    size = np.asarray(pc.list_value_length(batch.column("bucket")))
-    part, at = np.cumsum(size, dtype=np.int64) // PAIRS, 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(part, part[at], "right")))
-        own = batch.slice(at, to - at)
-        n = np.asarray(own.column("n")).astype(np.int64)
-        sentence = np.asarray(own.column("sentence").flatten()) + np.repeat(np.cumsum(n) - n, size[at:to]).astype(np.int32)
-        yield sentence.astype(np.int32), np.asarray(own.column("bucket").flatten()), np.repeat(np.arange(to - at, dtype=np.int32), n), np.asarray(own.column("toxic"))
-        at = to
+        for part in slices(batch, "text", FEATURE_BYTES):
+            sentence, bucket, doc, *_ = sentences(part.column("text"))
+            place = np.arange(part.num_rows + 1)
+            sizes = np.bincount(sentence, minlength=len(doc))
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(of, place).astype(np.int32)), pa.array(x.astype(np.int32))) for of, x in ((doc, sizes), (doc[sentence], bucket))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "sizes", "bucket"])
+
+
+class Part:
+    """Some rows of features: each sentence's number of buckets, the buckets, each sentence's row, each row's label."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.sizes, self.bucket = (rows.column(c).flatten().to_numpy().copy() for c in ("sizes", "bucket"))
+        self.doc = np.repeat(np.arange(rows.num_rows, dtype=np.int32), pc.list_value_length(rows.column("sizes")).to_numpy())
+        self.toxic = rows.column("toxic").to_numpy().copy()
+
+    def sentence(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def rows_with(self) -> np.ndarray:
+        """In how many rows each bucket is."""
+        own = np.unique(self.doc[self.sentence()].astype(np.int64) * FEATURES + self.bucket)
+        return np.bincount(own % FEATURES, minlength=FEATURES).astype(np.int32)
+
+    def keep(self, place: np.ndarray) -> None:
+        """Buckets become places; those without one go."""
+        bucket = place[self.bucket]
+        self.sizes = np.bincount(self.sentence()[bucket >= 0], minlength=len(self.sizes)).astype(np.int32)
+        self.bucket = bucket[bucket >= 0]
+
+    def slope(self, weights: np.ndarray, bias: float, n: int) -> tuple[np.ndarray, float]:
+        """How the mean loss of n rows grows with each weight and with the bias, as far as these rows go."""
+        sentence = self.sentence()
+        score = _sigmoid(np.bincount(sentence, weights[self.bucket], len(self.sizes)) + bias)
+        p = np.clip(noisy_or(score, self.doc, len(self.toxic)), 1e-6, 1 - 1e-6)
+        # the loss falls by score for label 0, by -score * (1 - p) / p for label 1, for each sentence's logit
+        each = np.where(self.toxic[self.doc] == 1, -score * (1 - p[self.doc]) / p[self.doc], score) / n
+        return np.bincount(self.bucket, each[sentence], len(weights)), float(each.sum())
 
 
 def fit(rows: Iterator[pa.RecordBatch], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights of the buckets, none negative, and the bias from rows of `features`: accelerated proximal descent on the documents' mean log loss with an L1 penalty; deterministic for rows in a fixed order. Memory: 8 bytes for each pair of a sentence and a bucket that enough documents have."""
-    parts, n, seen = [], 0, np.zeros(FEATURES, np.int32)
+    """Weights of the buckets, none negative, and the bias from rows of `features`: accelerated proximal descent on the documents' mean log loss with an L1 penalty; deterministic for rows in a fixed order. Memory: 4 bytes for each distinct bucket of a sentence."""
+    parts, seen = [], np.zeros(FEATURES, np.int32)
     for batch in rows:
-        for sentence, bucket, doc, toxic in _parts(batch):
-            own = np.unique(doc[sentence].astype(np.int64) * FEATURES + bucket)
-            seen += np.bincount(own % FEATURES, minlength=FEATURES).astype(np.int32)
-            parts.append((sentence, bucket.copy(), doc, toxic.copy()))
-            n += len(toxic)
-    weights = np.zeros(FEATURES)
-    used = np.flatnonzero(seen >= LEAST_DOCS)
+        pairs = np.cumsum(pc.list_value_length(batch.column("bucket")).to_numpy().astype(np.int64)) // PAIRS
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        for at, to in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows]):
+            parts.append(Part(batch.slice(at, to - at)))
+            seen += parts[-1].rows_with()
+    n = sum(len(x.toxic) for x in parts)
+    weights, used = np.zeros(FEATURES), np.flatnonzero(seen >= LEAST_DOCS)
     if not len(used):
         return weights, BIAS
     place = np.full(FEATURES, -1, np.int32)
     place[used] = np.arange(len(used))
-    for i, (sentence, bucket, doc, toxic) in enumerate(parts):
-        bucket = place[bucket]
-        parts[i] = (sentence[bucket >= 0], bucket[bucket >= 0], doc, toxic)
+    for part in parts:
+        part.keep(place)
     own, bias, near, near_bias, pace = np.zeros(len(used)), BIAS, np.zeros(len(used)), BIAS, 1.0
     penalty = L1 / n**0.5
     for _ in range(epochs):
         slope, slope_bias = np.zeros(len(used)), 0.0
-        for sentence, bucket, doc, toxic in parts:
-            score = _sigmoid(np.bincount(sentence, near[bucket], len(doc)) + near_bias)
-            p = np.clip(noisy_or(score, doc, len(toxic)), 1e-6, 1 - 1e-6)
-            # the loss falls by score for label 0, by -score * (1 - p) / p for label 1, for each sentence's logit
-            each = np.where(toxic[doc] == 1, -score * (1 - p[doc]) / p[doc], score) / n
-            slope += np.bincount(bucket, each[sentence], len(used))
-            slope_bias += each.sum()
+        for part in parts:
+            of_weights, of_bias = part.slope(near, near_bias, n)
+            slope += of_weights
+            slope_bias += of_bias
         new = np.maximum(near - RATE * (slope + penalty), 0)
         new_bias = near_bias - BIAS_RATE * slope_bias
         faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
@@ -141,10 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("of_doc"), "toxic")
     found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of_doc")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    made = found.select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, n int, sentence array<int>, bucket array<int>")
+    made = found.select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, sizes array<int>, bucket array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = fit(batches, epochs)
+        trim()
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(weights[at], bias))], ["bucket", "weight"])
 
