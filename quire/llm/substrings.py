@@ -272,11 +272,12 @@ def suffix_rows(docs: DataFrame, span: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, span: int = 35) -> DataFrame:
     """doc_id, mark, begin, end: runs of words covered by repeated windows, not merged; docs has doc_id, mark and text."""
     shared = suffix_rows(docs, span).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, _PLACES)
-    places = shared.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("key", "first", "n", "kind")).alias("places"))
+    own = F.struct("doc_id", "mark").alias("own")  # one key to group and join by, so that neither side is dealt out twice
+    places = shared.groupBy(own).agg(F.collect_set(F.struct("key", "first", "n", "kind")).alias("places"))
     small = docs.select("doc_id", "mark", "text").mapInArrow(_squeezed, "doc_id long, mark long, text binary")
-    texts = small.groupBy(F.col("doc_id").alias("of_doc"), F.col("mark").alias("of_mark")).agg(F.first("text").alias("z"), F.count(F.lit(1)).alias("times"))
-    both = texts.join(places, F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_mark") == F.col("mark")))
-    rows = both.select("doc_id", "mark", "z", "times", "places").mapInArrow(lambda x: _with_words(x, span), f"{_PLACES}, words binary")
+    texts = small.groupBy(own).agg(F.first("text").alias("z"), F.count(F.lit(1)).alias("times"))
+    both = texts.join(places, "own").select("own.doc_id", "own.mark", "z", "times", "places")
+    rows = both.mapInArrow(lambda x: _with_words(x, span), f"{_PLACES}, words binary")
     return rows.repartition("key").sortWithinPartitions("key", "words").mapInArrow(lambda x: _found(x, span), "doc_id long, mark long, begin long, end long")
 
 
@@ -300,11 +301,12 @@ def remove_repeats(docs: DataFrame, span: int = 35) -> DataFrame:
     """
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.struct(F.lit(1).alias("one"), *others).alias("rest"))
-    spans = repeated_spans(own, span).groupBy(F.col("doc_id").alias("of_doc"), F.col("mark").alias("of_mark")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    key = F.struct("doc_id", "mark").alias("own")
+    spans = repeated_spans(own, span).groupBy(key).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     schema = own.schema
     kind = schema["rest"].dataType.simpleString()
     small = own.mapInArrow(_squeezed, f"doc_id long, text binary, mark long, rest {kind}")
-    joined = small.join(spans, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("mark") == F.col("of_mark")), "left").drop("of_doc", "of_mark", "mark")
+    joined = small.select("text", "rest", key).join(spans, "own", "left").select("own.doc_id", "text", "rest", "spans")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -326,7 +328,7 @@ def remove_repeats(docs: DataFrame, span: int = 35) -> DataFrame:
                     kept.append(b" ".join(left).decode())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), part.column("rest"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text", "rest", "n_words", "n_removed", "kept_text"])
 
-    done = joined.select("doc_id", "text", "rest", "spans").mapInArrow(cut, f"doc_id long, text string, rest {kind}, n_words long, n_removed long, kept_text string")
+    done = joined.mapInArrow(cut, f"doc_id long, text string, rest {kind}, n_words long, n_removed long, kept_text string")
     new = ("n_words", "n_removed", "kept_text")
     nth = {c: i for i, c in enumerate(docs.columns)}
     return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.c{nth[c]}").alias(c) for c in docs.columns if c not in new), *new)
