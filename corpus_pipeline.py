@@ -53,7 +53,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     is set to the new text's length; all others stay as they are, whatever their names. An
     empty table gives an empty one.
     """
-    found = substrings.remove_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")), 35)
+    found = substrings.remove_repeats(docs.select("doc_id", "text", F.struct("*").dropFields("text").alias("row")), 35)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
