@@ -14,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The setting for the bytes of rows that go to Python at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in local mode, if that is unset, a folder of this session's own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -48,6 +52,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send at most 4 MB of rows to Python at once, unless it has a bound of its own: 10,000 long texts would fill an executor from both sides."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(4 << 20))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads again."""
     for table in tables:

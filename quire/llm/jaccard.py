@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, small_batches, written
 from .components import components
 from .kernels import U, arrow_bytes, mix, shingle_sets, slices, span_hashes
 from .substrings import _squeezed
@@ -443,6 +443,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     component, null doc_ids last; rows of the empty set all stay. Other columns are left
     out; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
     sets = written(shingle_rows(own, k, percent, common_elements(own, k)), "sets")
     nodes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least"), F.min("doc_id").alias("doc"), F.first("front").alias("front"), F.first("thin").alias("thin"))

@@ -17,6 +17,8 @@ from .common import worker_cache
 
 U = np.uint64
 SLICE_BYTES = 1 << 20
+#: Bytes of words that are hashed at once, about.
+HASH_BYTES = 1 << 18
 
 
 def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     held = worker_cache()
     if "powers" not in held or len(held["powers"][0]) < n:
         base = 0x9E3779B97F4A7C15
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, 2 * HASH_BYTES, 2 * len(held["powers"][0]) if "powers" in held else 0)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, U)
@@ -110,7 +112,14 @@ def span_hashes(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return span_hashes(letters(data), s, e)
+    """64-bit hashes of the words [s, e) of bytes, in their order; bytes are widened part by part, never within a word."""
+    out, at = np.empty(len(s), U), 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(e, s[at] + HASH_BYTES)))
+        first = s[at]
+        out[at:to] = span_hashes(letters(data[first : e[to - 1]]), s[at:to] - first, e[at:to] - first)
+        at = to
+    return out
 
 
 def window_starts(woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -33,13 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .kernels import arrow_bytes, mix, slices, span_hashes, window_starts, word_hashes, words
 
 GRAM = 8
 #: Windows in a row at most, and bytes of rows that make a block.
-RUN, BLOCK = 1024, 4 << 20
+RUN, BLOCK = 1024, 2 << 20
 #: Bytes of text in which equal windows are found before they are sent.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Kinds of rows: suffixes of one prefix, known repeats, a window that is its prefix.
 PARTED, KNOWN, WHOLE = 0, 1, 2
 #: Windows of one minimizer beyond which its prefix is lengthened.
@@ -285,7 +286,7 @@ def _squeezed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text column as zstd frames."""
     pack = zstandard.ZstdCompressor(9).compress
     for batch in rows:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 1 << 20):
             at = part.schema.get_field_index("text")
             yield part.set_column(at, "text", pa.array([None if x is None else pack(x.encode()) for x in part.column(at).to_pylist()], pa.binary()))
 
@@ -299,6 +300,7 @@ def remove_repeats(docs: DataFrame, span: int = 35) -> DataFrame:
     fewer than `span` words lose none. Rows that come twice repeat each other, null doc_id
     or not. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.struct(F.lit(1).alias("one"), *others).alias("rest"))
     key = F.struct("doc_id", "mark").alias("own")

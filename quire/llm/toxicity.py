@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim
+from .common import small_batches, trim
 from .kernels import ALNUM, LOWER, U, arrow_bytes, letters, slices, span_hashes, words
 
 #: Buckets that words and their stems are hashed into, a power of two; stems are first bytes of longer words, so many.
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     several labels of a doc_id the largest does, of several texts the least. Null texts have
     no sentence. Without any label the weights are zero.
     """
+    small_batches(docs.sparkSession)
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("of_doc"), "toxic")
     found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of_doc")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
@@ -190,6 +191,7 @@ def _scored(part: pa.RecordBatch, table: np.ndarray, bias: float) -> tuple[np.nd
 
 
 def _model(docs: DataFrame, weights: np.ndarray, bias: float):
+    small_batches(docs.sparkSession)
     used = np.flatnonzero(weights)
     return docs.sparkSession.sparkContext.broadcast((used, weights[used], bias))
 
@@ -216,7 +218,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFra
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, base = _table(sent)
         for batch in rows:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FEATURE_BYTES):
                 total, number, top, texts = _scored(part, table, base)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(total), pa.array((total >= 0.5).astype(np.int32)), pa.array(number, pa.int32()), pa.array(top, pa.float64()), pa.array(texts, pa.string())], ["doc_id", "mark", "score", "predicted", "sentence", "sentence_score", "sentence_text"])
 
@@ -234,7 +236,7 @@ def drop_toxic(docs: DataFrame, weights: np.ndarray, bias: float, threshold: flo
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, base = _table(sent)
         for batch in rows:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FEATURE_BYTES):
                 total, *_ = _scored(part, table, base)
                 yield part.filter(pa.array(total < threshold))
 
