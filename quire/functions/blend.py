@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .colour import clamp, cmyk_to_rgb
+
 Triple = tuple[Column, Column, Column]
 
 
@@ -75,3 +77,11 @@ def composite(mode: str, backdrop: Triple, backdrop_alpha: Column, source: Tripl
     out = backdrop_alpha + alpha - backdrop_alpha * alpha
     mixed = blend(mode, backdrop, source)
     return *(F.coalesce(F.try_divide((1 - alpha) * backdrop_alpha * b + alpha * ((1 - backdrop_alpha) * s + backdrop_alpha * m), out), F.lit(0.0)) for b, s, m in zip(backdrop, source, mixed)), out
+
+
+def process_overprint(backdrop: Triple, cmyk: tuple[Column, Column, Column, Column]) -> Triple:
+    """Colour of a CMYK source on backdrop in overprint mode 1: parts of the source that are 0 leave the backdrop's. A gray of g is (0, 0, 0, 1 - g)."""
+    black = 1 - F.greatest(*backdrop)
+    ink = [F.when(black >= 1 - 1e-12, F.lit(0.0)).otherwise(clamp(F.try_divide(1 - x - black, 1 - black))) for x in backdrop]
+    below = [*ink, F.when(black >= 1 - 1e-12, F.lit(1.0)).otherwise(clamp(black))]
+    return cmyk_to_rgb(*[F.when(s > 1e-12, s).otherwise(b) for s, b in zip(cmyk, below)])

@@ -25,3 +25,8 @@ def permissions(value: Column, revision: Column, is_owner: Column, is_locked: Co
 def annotation_visible(flags: Column, is_popup: Column, is_open: Column, layer_visible: Column) -> Column:
     """Not invisible, hidden or kept from view, a popup only while open, and its layer visible."""
     return (flags.bitwiseAND(F.lit(INVISIBLE | HIDDEN | NO_VIEW)) == 0) & (~is_popup | is_open) & F.coalesce(layer_visible, F.lit(True))
+
+
+def annotation_painted(flags: Column, rect: Column, layer_visible: Column) -> Column:
+    """Not invisible, hidden or kept from view, its layer visible and its rectangle (l, b, r, t) not empty; popups are painted open or not."""
+    return (flags.bitwiseAND(F.lit(INVISIBLE | HIDDEN | NO_VIEW)) == 0) & (rect["l"] < rect["r"]) & (rect["b"] < rect["t"]) & F.coalesce(layer_visible, F.lit(True))

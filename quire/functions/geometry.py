@@ -22,6 +22,12 @@ def normalised_box(box: Column, media: Column) -> Column:
     return F.when(good, cut).otherwise(media)
 
 
+def page_box(which: Column, media: Column, crop: Column, bleed: Column, trim: Column, art: Column) -> Column:
+    """The box asked for by name; bleed, trim and art boxes that a page lacks, and unknown names, are the crop box."""
+    own = F.when(which == "MediaBox", media).when(which == "BleedBox", bleed).when(which == "TrimBox", trim).when(which == "ArtBox", art)
+    return F.coalesce(own, crop)
+
+
 def contains(box: Column, x: Column, y: Column) -> Column:
     """Edges included."""
     return x.between(box["l"], box["r"]) & y.between(box["b"], box["t"])

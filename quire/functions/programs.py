@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from math import prod
+from operator import mul
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +59,42 @@ def sampled(x: Column, samples: list[float], domain=(0.0, 1.0), encode=None, dec
     return decode[0] + (low + (at - below) * (up - low)) * ((decode[1] - decode[0]) / high)
 
 
+def sampled_grid(xs: list[Column], samples: list[float], sizes: list[int], outputs: int = 1, domain=None, encode=None, decode=None, high: float = 255.0, bounds=None) -> list[Column]:
+    """Type 0 with several inputs and outputs: multilinear between the corners around a point, with up to 16 inputs; beyond that the sample at the lower corner.
+
+    samples hold the outputs of a place together, and the first input's places follow each
+    other. Corners are a fold over their numbers, so the plan grows with the inputs, not with 2 ** inputs.
+    """
+    n = len(sizes)
+    domain, decode = domain or [(0.0, 1.0)] * n, decode or [(0.0, 1.0)] * outputs
+    encode = encode or [(0.0, size - 1.0) for size in sizes]
+    steps = [prod(sizes[:d]) for d in range(n)]
+    table = F.lit(np.asarray(samples, float))
+    at = []
+    for x, (a, b), (c, d), size in zip(xs, domain, encode, sizes):
+        place = F.lit(float(c)) if a == b else c + (_interval(x, (a, b)) - a) * ((d - c) / (b - a))
+        at.append(clamp(place, 0.0, size - 1.0))
+
+    def output(places: Column, o: int) -> Column:
+        low = [F.floor(F.get(places, F.lit(d))).cast("int") for d in range(n)]
+        part = [F.get(places, F.lit(d)) - low[d] for d in range(n)]
+        sample = lambda index: F.get(table, index * outputs + o)
+
+        def corner(total: Column, k: Column) -> Column:
+            up = [F.shiftright(k, d).bitwiseAND(F.lit(1)) == 1 for d in range(n)]
+            weight = reduce(mul, [F.when(u, p).otherwise(1 - p) for u, p in zip(up, part)])
+            index = sum((F.when(u, F.least(w + 1, F.lit(size - 1))).otherwise(w) * step for u, w, size, step in zip(up, low, sizes, steps)), F.lit(0))
+            return total + weight * sample(index)
+
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(2**n - 1)), F.lit(0.0), corner) if n <= 16 else sample(sum((w * step for w, step in zip(low, steps)), F.lit(0)))
+        return decode[o][0] + found * ((decode[o][1] - decode[o][0]) / high)
+
+    def once(o: int) -> Column:
+        return F.get(F.transform(F.array(F.array(*at)), lambda places: output(places, o)), F.lit(0))
+
+    return _range([once(o) for o in range(outputs)], bounds)
+
+
 def _safe(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 

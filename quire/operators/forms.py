@@ -20,10 +20,10 @@ def appearance_state(states: Column, value: Column, current: Column, is_toggle:
 
 
 def first_page(rows: DataFrame, lookups: list[tuple[DataFrame, str]], key: str, page: str) -> DataFrame:
-    """rows with `page` from the first lookup (table of a name and `page`) that has the row's `key`; null where none has."""
+    """rows with `page` from the first lookup (table of a name and `page`) that has the row's `key`; null where none has, the least page where a lookup has several of a name."""
     out = rows
     for i, (table, name) in enumerate(lookups):
-        out = out.join(table.select(F.col(name).alias(f"_k{i}"), F.col(page).alias(f"_p{i}")), F.col(key) == F.col(f"_k{i}"), "left")
+        out = out.join(table.groupBy(F.col(name).alias(f"_k{i}")).agg(F.min(page).alias(f"_p{i}")), F.col(key) == F.col(f"_k{i}"), "left")
     return out.select(*rows.columns, F.coalesce(*[f"_p{i}" for i in range(len(lookups))]).alias(page))
 
 

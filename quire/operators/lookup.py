@@ -38,11 +38,61 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, value: str, low: str, high:
     """rows left-joined with the range that holds `value`, the one with the greatest `latest` if there are several.
 
     Ranges are dealt into buckets of `width` and joined by bucket, so the plan has an
-    equi-join and no product; a range costs a row for each bucket that it meets.
+    equi-join and no product; a range costs a row for each bucket that it meets. The best
+    range is found once for each distinct value, which then goes back to its rows.
     """
-    spread = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    keyed = rows.withColumn("_bucket_of", F.floor(F.col(value) / width)).withColumn("_row", F.monotonically_increasing_id())
-    hit = keyed.join(spread, (F.col("_bucket_of") == F.col("_bucket")) & F.col(value).between(F.col(low), F.col(high)))
-    best = hit.groupBy("_row").agg(F.max_by(F.struct(*ranges.columns), latest).alias("_found"))
-    own = [f"_found.{c}" for c in ranges.columns]
-    return keyed.join(best, "_row", "left").select(*rows.columns, *own)
+    spread = ranges.select(F.struct("*").alias("_range"), F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("_bucket"))
+    values = rows.select(F.col(value).alias("_value")).where("_value is not null").distinct()
+    hit = values.withColumn("_bucket", F.floor(F.col("_value") / width)).join(spread, "_bucket").where(F.col("_value").between(F.col(f"_range.{low}"), F.col(f"_range.{high}")))
+    best = hit.groupBy("_value").agg(F.max_by("_range", f"_range.{latest}").alias("_found"))
+    return rows.join(best, F.col(value) == F.col("_value"), "left").select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in ranges.columns])
+
+
+def page_of_label(wanted: DataFrame, pages: DataFrame, keys: list[str], label: str, page: str, strict: bool = False) -> DataFrame:
+    """wanted (keys, label, ...) with the first page of that label, null where no page has it; `strict` makes that an error.
+
+    The first page of each label is an aggregate with map-side combination.
+    """
+    first = pages.groupBy(*keys, label).agg(F.min(page).alias(page))
+    found = F.coalesce(page, F.raise_error(F.concat(F.lit("no page has label "), F.coalesce(label, F.lit("null"))))) if strict else F.col(page)
+    return wanted.join(first, [*keys, label], "left").select(*wanted.columns, found.alias(page))
+
+
+def page_rows(rows: DataFrame, pages: Column, number: Column, page: str) -> DataFrame:
+    """rows of the page of a number from 1; a number that a document of so many `pages` lacks is an error."""
+    told = F.when(number.between(1, pages), number - 1).otherwise(F.raise_error(F.concat(F.lit("no page "), number.cast("string"))).cast("int"))
+    return rows.where(F.col(page) == told)
+
+
+def having(rows: DataFrame, others: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
+    """rows whose keys are in others (where a condition on these holds), each once: fields with a widget on a page."""
+    return rows.join((others if where is None else others.where(where)).select(*keys), keys, "left_semi").select(*rows.columns)
+
+
+def unknown(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys no row of `known` has, such as overrides of layers that are not there."""
+    return rows.join(known.select(*keys), keys, "left_anti").select(*rows.columns)
+
+
+def all_known(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """rows; a row whose keys no row of `known` has is an error when it is read."""
+    marked = known.select(*keys).distinct().withColumn("_known", F.lit(True))
+    names = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    sure = F.coalesce("_known", F.raise_error(F.concat(F.lit("unknown identifier "), names)).cast("boolean"))
+    return rows.join(marked, keys, "left").where(sure).select(*rows.columns)
+
+
+def linked(rows: DataFrame, keys: list[str], id: str, links: dict[str, list[str]]) -> DataFrame:
+    """rows with columns of the row that each link names by its id, within keys: links maps a column with an id to the columns to bring, named link_column. Null where none has the id, the least where several do."""
+    out = rows
+    for link, columns in links.items():
+        target = rows.where(F.col(id).isNotNull()).groupBy(*keys, F.col(id).alias(link)).agg(F.min(F.struct(*columns)).alias("_target"))
+        out = out.join(target, [*keys, link], "left").select(*out.columns, *[F.col(f"_target.{c}").alias(f"{link}_{c}") for c in columns])
+    return out
+
+
+def in_order(parts: list[DataFrame], keys: list[str], order: str) -> DataFrame:
+    """All rows of the parts, those of the first before those of the next; `order` counts them anew from 0 within keys."""
+    marked = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_part", order)) - 1
+    return reduce(DataFrame.unionByName, marked).withColumn(order, place.cast("int")).drop("_part")

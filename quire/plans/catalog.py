@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, relational
+from . import documents, painting, relational, views
 
-QUERIES = documents.QUERIES | relational.QUERIES
-ORACLES = documents.ORACLES | relational.ORACLES
+QUERIES = documents.QUERIES | relational.QUERIES | painting.QUERIES | views.QUERIES
+ORACLES = documents.ORACLES | relational.ORACLES | painting.ORACLES | views.ORACLES

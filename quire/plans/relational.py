@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blend as blends
-from ..functions import colour, dates, flags, geometry, labels, programs
+from ..functions import colour, dates, flags, geometry, labels, programs, typefaces
 from ..operators import forms, hierarchy, layout, lookup, policy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,12 +222,6 @@ def element_counts(spark, sf_dir):
     return policy.count_kinds(table(spark, sf_dir, "events"), ["user_id"], "event_type", {"n_gradients": ["click", "view"], "n_paths": ["purchase"]})
 
 
-@query("SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'a') THEN 50 ELSE 0 END + CASE WHEN p_size > 25 THEN 30 ELSE 0 END + CASE WHEN p_brand LIKE '%1' THEN 1000 ELSE 0 END)::INT AS score FROM part ORDER BY score DESC, p_name, p_partkey LIMIT 64")
-def font_top_k(spark, sf_dir):
-    score = F.when(F.lower("p_name").contains("a"), 50).otherwise(0) + F.when(F.col("p_size") > 25, 30).otherwise(0) + F.when(F.col("p_brand").like("%1"), 1000).otherwise(0)
-    return policy.top_k(table(spark, sf_dir, "part"), score, 64, "p_name", "p_partkey").select("p_partkey", "score")
-
-
 _TREE = """WITH t AS (SELECT 'r' || r_regionkey AS node, NULL AS parent, r_regionkey::BIGINT AS nth FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey FROM customer)"""
 
 
@@ -259,9 +253,9 @@ def form_inherit(spark, sf_dir):
 
 @query("SELECT a.conv_id, a.turn, a.role, b.role AS parent_role, coalesce(length(b.text), -1)::INT AS parent_chars FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
 def thread_join(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    above = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("parent_role"), F.length("text").alias("parent_chars"))
-    return turns.select("conv_id", "turn", "role").join(above, ["conv_id", "turn"], "left").withColumn("parent_chars", F.coalesce("parent_chars", F.lit(-1)))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"), F.col("turn").alias("id"), (F.col("turn") - 1).alias("parent"))
+    found = lookup.linked(turns, ["conv_id"], "id", {"parent": ["role", "chars"]})
+    return found.select("conv_id", "turn", "role", "parent_role", F.coalesce("parent_chars", F.lit(-1)).alias("parent_chars"))
 
 
 @query("SELECT coalesce(s.s_nationkey, c.c_nationkey) AS nation, CASE WHEN s.s_nationkey IS NOT NULL THEN s.v ELSE c.v END AS v FROM (SELECT s_nationkey, 'supplier ' || min(s_suppkey) AS v FROM supplier GROUP BY ALL) s FULL JOIN (SELECT c_nationkey, 'customer ' || min(c_custkey) AS v FROM customer GROUP BY ALL) c ON s.s_nationkey = c.c_nationkey")
@@ -273,12 +267,12 @@ def destination_override(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def widget_semi(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return lookup.having(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def layer_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return lookup.unknown(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @query(
@@ -473,7 +467,7 @@ def upper_median(spark, sf_dir):
 @query("SELECT event_id, regexp_replace(lower(regexp_replace(n, '^[A-Z]{6}[+]', '')), '[-_ ]', '', 'g') AS plain, regexp_matches(n, '^[A-Z]{6}[+].') AS is_subset FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ABCDEF+' ELSE '' END || upper(event_type[1]) || event_type[2:] || '-Bold_' || user_id AS n FROM events)")
 def font_names(spark, sf_dir):
     name = F.concat(F.when(F.col("event_id") % 2 == 0, "ABCDEF+").otherwise(""), F.upper(F.substring("event_type", 1, 1)), F.expr("substring(event_type, 2)"), F.lit("-Bold_"), F.col("user_id").cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", F.regexp_replace(F.lower(F.regexp_replace(name, "^[A-Z]{6}[+]", "")), "[-_ ]", "").alias("plain"), name.rlike("^[A-Z]{6}[+].").alias("is_subset"))
+    return table(spark, sf_dir, "events").select("event_id", typefaces.plain_name(name).alias("plain"), typefaces.is_subset(name).alias("is_subset"))
 
 
 @query("WITH f AS (SELECT event_id, user_id, event_type || '.bin' AS name, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY event_id) AS n FROM events) SELECT event_id, CASE WHEN n = 1 THEN name ELSE replace(name, '.bin', '-' || n || '.bin') END AS file_name FROM f")
