@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import synth
-from ..functions import flags, labels
+from ..functions import flags, labels, texts
 from ..operators import hierarchy, layout, lookup, policy
 from ..sources import pdf
 
@@ -200,3 +200,35 @@ def pdf_search(spark, sf_dir):
     files = made(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", lambda r: synth.text_pdf(r["text"] or ""))
     runs = pdf.table(pdf.parse(files, ["runs"], ["doc_id"]), "runs", ["doc_id"])
     return layout.search(runs, "the ").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(f"SELECT item_id AS doc_id, 1::BIGINT AS catalogs, greatest((len({_WORDS}) + 319) // 320, 1)::BIGINT AS pages, 0::BIGINT AS missing FROM benchmark")
+def pdf_objects(spark, sf_dir):
+    """Objects by type, and references to objects that are not there, by a join of references with objects."""
+    files = made(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", lambda r: synth.text_pdf(r["text"]))
+    rows = pdf.table(pdf.parse(files, ["objects"], ["doc_id"]), "objects", ["doc_id"])
+    refs = rows.select("doc_id", F.explode("refs").alias("obj"))
+    missing = lookup.unknown(refs, rows, ["doc_id", "obj"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("missing"))
+    found = policy.count_kinds(rows, ["doc_id"], "type", {"catalogs": ["Catalog"], "pages": ["Page"]})
+    return found.join(missing, "doc_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
+
+
+_INK = b"/Subtype /Ink /Rect [0 0 9 9] /NM (n%d) /Subj (s%d) /RT /Group /CA 0.5 /C [0.25 %d 1] /Border [1 2 %d [3 %d]] /InkList [[1 2 3 4] [] [5 %d 7]] /QuadPoints [0 0 1 (x) 0 1 1 1 9] /LE [/None /OpenArrow]"
+
+
+@query("SELECT page_id AS doc_id, 'n' || page_id AS name, 's' || page_id % 7 AS subject, 'Group' AS reply_type, 0.5::DOUBLE AS opacity, 1.25 + (page_id % 2)::DOUBLE AS color, (page_id % 5)::DOUBLE AS width, 'Dashed' AS style, 3 + (page_id % 3)::DOUBLE AS dash, 2::INT AS paths, page_id::DOUBLE AS last_y, 3::INT AS quad_points, 'None,OpenArrow' AS line_ends FROM pages")
+def pdf_markup(spark, sf_dir):
+    """Ink annotations with colours, borders, paths and points."""
+    files = made(table(spark, sf_dir, "pages").select("page_id"), "page_id", lambda r: synth.text_pdf("", notes=[_INK % (r["page_id"], r["page_id"] % 7, r["page_id"] % 2, r["page_id"] % 5, r["page_id"] % 3, r["page_id"])]))
+    rows = pdf.table(pdf.parse(files, ["markup"], ["doc_id"]), "markup", ["doc_id"]).withColumn("paths", texts.ink_paths(F.col("ink")))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    return rows.select("doc_id", "name", "subject", "reply_type", "opacity", total("color").alias("color"), F.col("border.width").alias("width"), F.col("border.style").alias("style"), total("border.dash").alias("dash"), F.size("paths").alias("paths"), F.col("paths")[1][0]["y"].alias("last_y"), F.size(texts.point_pairs(F.col("quads"))).alias("quad_points"), F.array_join("line_ends", ",").alias("line_ends"))
+
+
+@query("SELECT item_id AS doc_id, g::INT AS radio_group, nth::INT AS nth, name FROM benchmark, (VALUES (0, 0, 'Red'), (0, 1, 'Blue'), (1, 0, 'Blue')) AS r(g, nth, name)")
+def pdf_radio_groups(spark, sf_dir):
+    """Layers of radio groups by name; a layer that a group lists twice counts once, and groups without layers are none."""
+    files = made(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", lambda r: synth.text_pdf("", layers=[("Red", True, "a"), ("Blue", False, "b")], radio=[[0, 1, 0], [], [1]]))
+    parsed = pdf.parse(files, ["layers", "radio_groups"], ["doc_id"])
+    groups = pdf.table(parsed, "radio_groups", ["doc_id"]).withColumnRenamed("group", "radio_group")
+    return groups.join(pdf.table(parsed, "layers", ["doc_id"]).select("doc_id", "id", "name"), ["doc_id", "id"]).select("doc_id", "radio_group", "nth", "name")

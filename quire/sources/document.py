@@ -15,6 +15,10 @@ ACTIONS = {"GoTo", "GoToR", "GoToE", "Launch", "URI", "Named", "JavaScript", "Su
 INHERITED = ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox", "Resources", "Rotate")
 FORM_KEYS = ("FT", "Ff", "V", "DV", "DA", "Q", "MaxLen", "Opt", "TI", "I")
 
+# Border styles by their names in files.
+BORDERS = {"D": "Dashed", "B": "Beveled", "I": "Inset", "U": "Underline"}
+KINDS = ((Stream, "stream"), (dict, "dictionary"), (list, "array"), (Name, "name"), (bytes, "string"), (bool, "boolean"), (int, "integer"), (float, "real"))
+
 
 def number(x) -> float | None:
     return float(x) if type(x) in (int, float) else None
@@ -415,6 +419,76 @@ class Document:
                 out.append({"page": i, "idx": k, "id": name, "subtype": str(self.get(got, "Subtype") or ""), "rect": box, "flags": self.get(got, "F", int) or 0, "is_open": self.get(got, "Open") is True, "layer_visible": self.layer_visible(got.get("OC")), "parent_id": ref("IRT") or ref("Parent"), "popup_id": ref("Popup"), "contents": text(self.get(got, "Contents")), "title": text(self.get(got, "T")), "uri": next((a["uri"] for a in actions if a["uri"]), None), "target_page": target["page"] if target else next((a["page"] for a in actions if a["page"] is not None), None), "n_points": points})
         return out
 
+    def numbers(self, value) -> list[float | None]:
+        """A number for each entry of an array, null where there is none; empty if it is no array."""
+        got = self.objects.resolve(value)
+        return [number(self.objects.resolve(x)) for x in got] if isinstance(got, list) else []
+
+    def border(self, got: dict) -> dict:
+        """Width, radii, style and dash of /Border, then of /BS; sizes below 0 are 0, and dashes below 0 are left out."""
+        old = (self.numbers(got.get("Border")) + [None] * 3)[:3]
+        listed = self.get(got, "Border", list) or []
+        dash = self.numbers(listed[3]) if len(listed) > 3 else []
+        style, width = "Dashed" if any(x is not None for x in dash) else "Solid", 1.0 if old[2] is None else old[2]
+        own = self.get(got, "BS", dict)
+        if own is not None:
+            told = number(self.get(own, "W"))
+            width, style = width if told is None else told, BORDERS.get(str(self.get(own, "S") or ""), "Solid")
+            dash = self.numbers(own["D"]) if "D" in own else dash
+        return {"width": max(width, 0.0), "horizontal_radius": max(old[0] or 0.0, 0.0), "vertical_radius": max(old[1] or 0.0, 0.0), "style": style, "dash": [x for x in dash if x is not None and x >= 0]}
+
+    def facet_markup(self) -> list[dict]:
+        """What annotations have besides place and target, as read: arrays of numbers become points in a view (texts.point_pairs, texts.ink_paths)."""
+        out = []
+        words = {"name": "NM", "subject": "Subj", "icon": "Name", "modified": "M", "reply_type": "RT", "state": "State", "state_model": "StateModel", "intent": "IT", "rich_text": "RC", "default_style": "DS"}
+        lists = {"quads": "QuadPoints", "vertices": "Vertices", "line": "L", "callout": "CL", "differences": "RD"}
+        for i, p in enumerate(self.pages):
+            for k, value in enumerate(self.get(p["dict"], "Annots", list) or []):
+                got = self.objects.resolve(value)
+                if not isinstance(got, dict) or self.box(self.get(got, "Rect")) is None:
+                    continue
+                said = lambda key: (lambda x: str(x) if isinstance(x, Name) else text(x))(self.get(got, key))  # noqa: B023, E731
+                color = lambda key: [x for x in self.numbers(got.get(key)) if x is not None]  # noqa: B023, E731
+                opacity, ends = number(self.get(got, "CA")), self.get(got, "LE")
+                ends = ends if isinstance(ends, list) else [ends]
+                out.append({"page": i, "idx": k, **{n: said(key) for n, key in words.items()}, "opacity": 1.0 if opacity is None else min(max(opacity, 0.0), 1.0), "color": color("C"), "interior": color("IC"), "border": self.border(got), **{n: self.numbers(got.get(key)) for n, key in lists.items()}, "ink": [self.numbers(x) for x in self.get(got, "InkList", list) or []], "line_ends": [str(x) for x in map(self.objects.resolve, ends) if isinstance(x, Name)], "has_appearance": self.get(self.get(got, "AP", dict), "N") is not None})
+        return out
+
+    # objects and layer groups
+
+    def facet_objects(self) -> list[dict]:
+        """Every object that the cross-references name: its kind, type and the objects that it refers to, each once. One that cannot be read has the kind error."""
+        out = []
+        for n, entry in sorted(self.objects.entries.items()):
+            if entry.kind == "f":
+                continue
+            generation = 0 if entry.kind == "c" else entry.b
+            try:
+                value = self.objects.resolve(Ref(n, generation))
+            except PdfError as e:
+                self.objects.note("object.unreadable", f"object {n}: {e}")
+                out.append({"obj": n, "gen": generation, "kind": "error", "type": None, "subtype": None, "length": None, "refs": []})
+                continue
+            head = value.dict if isinstance(value, Stream) else value if isinstance(value, dict) else {}
+            named = lambda key: str(head[key]) if isinstance(head.get(key), Name) else None  # noqa: B023, E731
+            refs, todo = {}, [head if head else value]
+            while todo:
+                x = todo.pop()
+                if isinstance(x, Ref):
+                    refs[x.obj] = None
+                elif isinstance(x, dict | list):
+                    todo += list(x.values() if isinstance(x, dict) else x)
+            kind = next((k for t, k in KINDS if isinstance(value, t)), "null")
+            out.append({"obj": n, "gen": generation, "kind": kind, "type": named("Type"), "subtype": named("Subtype"), "length": len(value.data) if isinstance(value, Stream) else None, "refs": sorted(refs)})
+        return out
+
+    def facet_radio_groups(self) -> list[dict]:
+        """Layers of which one at most is shown at a time, by group; a layer comes once in each."""
+        config = self.get(self.get(self.catalog, "OCProperties", dict), "D", dict)
+        groups = map(self.objects.resolve, self.get(config, "RBGroups", list) or [])
+        listed = [list(dict.fromkeys(x for x in g if isinstance(x, Ref) and x in self.states)) for g in groups if isinstance(g, list)]
+        return [{"group": i, "nth": k, "id": f"{x.obj}:{x.gen}"} for i, g in enumerate(x for x in listed if x) for k, x in enumerate(g)]
+
     def facet_fields(self) -> list[dict]:
         """Terminal and inner fields in the order of the form's tree, with their own keys: inheritance is a view."""
         out, seen = [], set()

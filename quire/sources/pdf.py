@@ -34,6 +34,9 @@ FACETS = {
     "outline": "node int, parent int, nth int, title string, is_open boolean, is_italic boolean, is_bold boolean, color array<double>, page int, zoom double",
     "layers": "seq int, id string, name string, intents array<string>, base string, is_on boolean, is_off boolean, view_state boolean, is_locked boolean",
     "annotations": f"page int, idx int, id string, subtype string, rect {_BOX}, flags int, is_open boolean, layer_visible boolean, parent_id string, popup_id string, contents string, title string, uri string, target_page int, n_points int",
+    "markup": "page int, idx int, name string, subject string, icon string, modified string, reply_type string, state string, state_model string, intent string, rich_text string, default_style string, opacity double, color array<double>, interior array<double>, border struct<width double, horizontal_radius double, vertical_radius double, style string, dash array<double>>, quads array<double>, vertices array<double>, line array<double>, callout array<double>, differences array<double>, ink array<array<double>>, line_ends array<string>, has_appearance boolean",
+    "objects": "obj int, gen int, kind string, type string, subtype string, length long, refs array<int>",
+    "radio_groups": "`group` int, nth int, id string",
     "fields": "field int, parent int, nth int, name string, type string, flags int, values array<string>, defaults array<string>, appearance string, chosen array<int>, options array<struct<export string, display string>>, is_terminal boolean, n_widgets int",
     "actions": "owner string, path array<int>, kind string, uri string, name string, page int",
     "widgets": f"field int, idx int, page int, rect {_BOX}, flags int, states array<string>, state string",
@@ -60,7 +63,7 @@ def facets_of(content: bytes, facets: list[str], owner: str | None = None, user:
         document = Document(bytes(content), owner, user, repair, limits)
         whole = document.facet_content(set(facets)) if not document.locked and set(facets) & set(CONTENT) else {}
         for f in sorted(facets, key=lambda x: x == "diagnostics"):
-            out[f] = whole.get(f, []) if f in CONTENT else [] if document.locked and f in ("annotations", "labels") else getattr(document, f"facet_{f}")()
+            out[f] = whole.get(f, []) if f in CONTENT else [] if document.locked and f in ("annotations", "labels", "markup", "objects", "radio_groups") else getattr(document, f"facet_{f}")()
     except PdfError as e:
         out["error"] = {"kind": e.kind, "message": str(e)}
     except (RecursionError, MemoryError) as e:

@@ -137,12 +137,12 @@ def unicode_font(w: Writer, chars: list[str]) -> tuple[int, dict[str, int]]:
     return w.put(b"<< /Type /Font /Subtype /Type0 /BaseFont /QUIREA+Made /Encoding /Identity-H /DescendantFonts [%d 0 R] /ToUnicode %d 0 R >>" % (inner, unicode)), codes
 
 
-def text_pdf(text: str, info: dict[str, str] | None = None, attachments: list[tuple[str, bytes, str]] = (), labels: bytes = b"", outline: list[tuple[str, int | None, int]] = (), fields: list[tuple[str, str]] = (), links: list[str] = (), layers: list[tuple[str, bool, str]] = (), revision: int = 0, user: bytes = b"", broken: bool = False, lead: bytes = b"", compress: str = "Flate") -> bytes:
+def text_pdf(text: str, info: dict[str, str] | None = None, attachments: list[tuple[str, bytes, str]] = (), labels: bytes = b"", outline: list[tuple[str, int | None, int]] = (), fields: list[tuple[str, str]] = (), links: list[str] = (), layers: list[tuple[str, bool, str]] = (), revision: int = 0, user: bytes = b"", broken: bool = False, lead: bytes = b"", compress: str = "Flate", notes: list[bytes] = (), radio: list[list[int]] = ()) -> bytes:
     """A file with a text on pages, and what else is asked for.
 
     outline: (title, parent's place in the list or None, page). layers: (name, on, text),
     each a marked-content section of the first page. fields: (name, value). links: URIs on
-    the first page.
+    the first page. notes: bodies of more annotations there. radio: groups of places of layers.
     """
     w = Writer(revision, user)
     root, tree = w.reserve(), w.reserve()
@@ -150,7 +150,7 @@ def text_pdf(text: str, info: dict[str, str] | None = None, attachments: list[tu
     font, codes = unicode_font(w, sorted(set("".join("".join(p) for p in pages) + "".join(t for _, _, t in layers))))
     shown = lambda s: "".join(f"{codes[c]:04x}" for c in s).encode()
     groups = [w.put(b"<< /Type /OCG /Name %s >>" % literal(name)) for name, _, _ in layers]
-    notes = [w.put(b"<< /Type /Annot /Subtype /Link /Rect [10 %d 100 %d] /F %d /A << /S /URI /URI %s >> >>" % (700 - 12 * i, 710 - 12 * i, 4 if i % 2 else 2, b"<" + u.encode("utf-16-be").hex().encode().join((b"feff", b"")) + b">")) for i, u in enumerate(links)]
+    notes = [w.put(b"<< /Type /Annot %s >>" % x) for x in notes] + [w.put(b"<< /Type /Annot /Subtype /Link /Rect [10 %d 100 %d] /F %d /A << /S /URI /URI %s >> >>" % (700 - 12 * i, 710 - 12 * i, 4 if i % 2 else 2, b"<" + u.encode("utf-16-be").hex().encode().join((b"feff", b"")) + b">")) for i, u in enumerate(links)]
     kids = [w.reserve() for _ in pages]
     for k, (number, lines) in enumerate(zip(kids, pages)):
         body = [b"BT /F0 10 Tf 1 0 0 1 36 %d Tm <%s> Tj ET" % (760 - 18 * i, shown(x)) for i, x in enumerate(lines)]
@@ -194,7 +194,7 @@ def text_pdf(text: str, info: dict[str, str] | None = None, attachments: list[tu
         more += b" /AcroForm << /Fields [%d 0 R] >>" % group
     if layers:
         refs = lambda on: b" ".join(b"%d 0 R" % g for g, (_, x, _) in zip(groups, layers) if x == on)
-        more += b" /OCProperties << /OCGs [%s] /D << /BaseState /ON /ON [%s] /OFF [%s] >> >>" % (b" ".join(b"%d 0 R" % g for g in groups), refs(True), refs(False))
+        more += b" /OCProperties << /OCGs [%s] /D << /BaseState /ON /ON [%s] /OFF [%s] /RBGroups [%s] >> >>" % (b" ".join(b"%d 0 R" % g for g in groups), refs(True), refs(False), b" ".join(b"[%s]" % b" ".join(b"%d 0 R" % groups[i] for i in g) for g in radio))
     w.put(b"<< /Type /Catalog /Pages %d 0 R%s >>" % (tree, more), root)
     own = None
     if info:
