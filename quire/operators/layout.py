@@ -41,28 +41,63 @@ def _sorted(runs: Column, *keys) -> Column:
     return F.transform(F.array_sort(numbered, compare), lambda x: x["run"])
 
 
+def _reach(runs: Column) -> Column:
+    """How far apart the bottoms of runs of a line may be at most, whatever their sizes."""
+    return F.greatest(F.lit(1.5), 0.35 * F.array_max(F.transform(runs, lambda r: r["font_size"])))
+
+
+def _falling(runs: Column) -> Column:
+    return _sorted(runs, (lambda r: r["bottom"], -1))
+
+
+def _apart(falling: Column, reach: Column) -> Column:
+    """Whether each run is further below the one before than a line reaches, and so is a line by itself."""
+    rest = F.greatest(F.size(falling) - 1, F.lit(0))
+    near = F.zip_with(F.slice(falling, F.lit(1), rest), F.slice(falling, F.lit(2), rest), lambda a, b: F.coalesce(a["bottom"] - b["bottom"] <= reach, F.lit(True)))
+    return ~F.exists(near, lambda x: x)
+
+
 def lines_of(runs: Column) -> Column:
     """Runs by falling bottom, equal ones in their order, put greedily into the first line whose first run is near enough: an array of lines, each an array of runs."""
+    return let(_reach(runs), lambda reach: let(_falling(runs), lambda o: _greedy(o, reach)))
+
+
+def _greedy(ordered: Column, reach: Column) -> Column:
+    """Lines of runs by falling bottom. A line whose first run is further up than any run may be takes no more: it is closed, and only open ones are looked at."""
+    none = F.array(F.filter(ordered, lambda x: F.lit(False)))
+    start = F.struct(F.slice(none, 1, 0).alias("closed"), F.slice(none, 1, 0).alias("open"))
 
-    def place(lines: Column, run: Column) -> Column:
-        near = F.transform(lines, lambda line: F.abs(line[0]["bottom"] - run["bottom"]) <= F.greatest(F.lit(1.5), 0.35 * F.greatest(line[0]["font_size"], run["font_size"])))
-        put = lambda at: F.when(at == 0, F.concat(lines, F.array(F.array(run)))).otherwise(F.transform(lines, lambda line, i: F.when(i == at - 1, F.concat(line, F.array(run))).otherwise(line)))
-        return let(F.array_position(near, True), put)
+    def place(held: Column, run: Column) -> Column:
+        far = lambda line: F.coalesce(line[0]["bottom"] - run["bottom"] > reach, F.lit(False))
+        near = lambda line: F.abs(line[0]["bottom"] - run["bottom"]) <= F.greatest(F.lit(1.5), 0.35 * F.greatest(line[0]["font_size"], run["font_size"]))
+        own = F.array(F.array(run))
 
-    return let(_sorted(runs, (lambda r: r["bottom"], -1)), lambda o: F.aggregate(o, F.filter(F.array(o), lambda x: F.lit(False)), place))
+        def put(kept: Column) -> Column:
+            at = F.array_position(F.transform(kept, near), True)
+            return F.when(F.size(kept) == 0, own).otherwise(let(at, lambda at: F.when(at == 0, F.concat(kept, own)).otherwise(F.transform(kept, lambda line, i: F.when(i == at - 1, F.concat(line, F.array(run))).otherwise(line)))))
+
+        shut = F.size(held["open"]) > 0
+        return F.when(shut & far(held["open"][0]), F.struct(F.concat(held["closed"], F.filter(held["open"], far)).alias("closed"), let(F.filter(held["open"], lambda x: ~far(x)), put).alias("open"))).otherwise(F.struct(held["closed"].alias("closed"), put(held["open"]).alias("open")))
+
+    return F.aggregate(ordered, start, place, lambda held: F.concat(held["closed"], held["open"]))
 
 
 def line_order(line: Column) -> Column:
     """A line's runs from the left, or from the right where most are right-to-left; equal ones stay in their order, by falling bottom."""
     backward = F.size(F.filter(line, lambda r: r["rtl"])) > F.floor(F.size(line) / 2)
-    return F.when(backward, _sorted(line, (lambda r: r["right"], -1))).otherwise(_sorted(line, (lambda r: r["left"], 1)))
+    return F.when(F.size(line) < 2, line).when(backward, _sorted(line, (lambda r: r["right"], -1))).otherwise(_sorted(line, (lambda r: r["left"], 1)))
 
 
 def physical_order(runs: Column) -> Column:
     """Horizontal runs line by line, then vertical ones from the right and from the top."""
-    flat = F.flatten(F.transform(lines_of(F.filter(runs, lambda r: ~r["vertical"])), line_order))
+
+    def by_lines(level: Column) -> Column:
+        ordered = lambda o, reach: F.when(_apart(o, reach), o).otherwise(F.flatten(F.transform(_greedy(o, reach), line_order)))
+        return let(_reach(level), lambda reach: let(_falling(level), lambda o: ordered(o, reach)))
+
     upright = _sorted(F.filter(runs, lambda r: r["vertical"]), (lambda r: r["right"], -1), (lambda r: r["top"], -1))
-    return F.concat(flat, upright)
+    some = F.exists(runs, lambda r: r["vertical"])
+    return F.when(some, F.concat(let(F.filter(runs, lambda r: ~r["vertical"]), by_lines), upright)).otherwise(by_lines(runs))
 
 
 def _centre(run: Column) -> Column:
@@ -100,7 +135,8 @@ def reading_order(runs: Column) -> Column:
 
 def _trimmed(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1)).rlike(r"\p{IsWhite_Space}")
+    return let(text, lambda t: F.when(ends(t), F.regexp_replace(t, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")).otherwise(t))
 
 
 def joined(runs: Column) -> Column:
@@ -125,11 +161,20 @@ def raw_text(runs: Column) -> Column:
     return _trimmed(F.array_join(F.transform(by_seq(runs), lambda r: F.concat(F.rtrim(r["text"]), F.when(r["space_after"], " ").otherwise(""))), ""))
 
 
+def ordered(runs: Column, layout: str) -> Column:
+    """A page's runs in the order of the layout: raw, physical or reading."""
+    return let(by_seq(runs), {"raw": lambda x: x, "physical": physical_order, "reading": reading_order}[layout])
+
+
+def nested_text(runs: Column, layout: str = "physical") -> Column:
+    """Text of a page that has its runs in one array, as `page_text` gives it; empty without runs."""
+    return F.when(F.size(runs) == 0, "").otherwise(let(ordered(runs, layout), raw_text if layout == "raw" else joined))
+
+
 def page_text(runs: DataFrame, by: list[str], layout: str = "physical", area: tuple[float, float, float, float] | None = None) -> DataFrame:
     """by and text of each page; layout is raw, physical or reading. Runs are ordered before those outside the area (left, bottom, right, top) go."""
     pages = runs.groupBy(*by).agg(F.collect_list(F.struct(*RUN)).alias("runs"))
-    order = {"raw": lambda x: x, "physical": physical_order, "reading": reading_order}[layout]
-    pages = pages.select(*by, let(by_seq(F.col("runs")), order).alias("runs"))
+    pages = pages.select(*by, ordered(F.col("runs"), layout).alias("runs"))
     if area:
         low_x, low_y, high_x, high_y = area
         pages = pages.select(*by, F.filter("runs", lambda r: (r["left"] <= high_x) & (r["right"] >= low_x) & (r["bottom"] <= high_y) & (r["top"] >= low_y)).alias("runs"))

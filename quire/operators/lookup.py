@@ -22,6 +22,11 @@ def as_of(rows: DataFrame, marks: DataFrame, by: list[str], order: str, values:
     return both.where("_kind = 1").select(*rows.columns, *[F.col(f"_mark.{v}").alias(v) for v in values])
 
 
+def last_before(marks: Column, order: str, at: Column) -> Column:
+    """Of an array of marks, each a struct that begins with `order`, the last at or before `at`, as `as_of` finds it; null if there is none. Nothing is shuffled; each look goes over the whole array."""
+    return F.array_max(F.filter(marks, lambda m: m[order] <= at))
+
+
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order, which should end in something unique. An aggregate with map-side combination, no window."""
     ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])

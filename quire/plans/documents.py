@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import synth
@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows of a table; where one part holds over twice a core's share, as when a file is one row group, they are dealt out. The count of rows by part reads no column."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    return rows.repartition(4 * cores) if max(sizes, default=0) * cores > 2 * sum(sizes) else rows
+
+
 def made(rows: DataFrame, key: str, make: Callable[[dict], bytes]) -> DataFrame:
     """doc_id and content, a file for each row. Input that comes in fewer parts than there are cores is dealt out first."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -45,13 +52,11 @@ def made(rows: DataFrame, key: str, make: Callable[[dict], bytes]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, content binary")
 
 
-def page_labels(parsed: DataFrame) -> DataFrame:
-    """doc_id, page, label: the last range that begins at or before a page names it; without one its number does."""
-    pages = pdf.table(parsed, "pages", ["doc_id"]).select("doc_id", "page")
-    marks = pdf.table(parsed, "labels", ["doc_id"]).withColumn("page", F.col("start_page"))
-    found = lookup.as_of(pages, marks, ["doc_id"], "page", ["start_page", "prefix", "style", "first"])
-    named = labels.page_label(F.col("prefix"), F.col("style"), F.col("page") - F.col("start_page") + F.col("first"))
-    return found.select("doc_id", "page", F.when(F.col("start_page").isNull(), (F.col("page") + 1).cast("string")).otherwise(named).alias("label"))
+def page_label(marks: Column, page: Column) -> Column:
+    """Label of a page: the last range that begins at or before it names it; without one its number does."""
+    own = lookup.last_before(marks, "start_page", page)
+    named = lambda m: labels.page_label(m["prefix"], m["style"], page - m["start_page"] + m["first"])
+    return layout.let(own, lambda m: F.when(m.isNull(), (page + 1).cast("string")).otherwise(named(m)))
 
 
 _WORDS = "list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -62,18 +67,10 @@ l AS (SELECT doc_id, page, [array_to_string(words[page * 320 + i * 8 + 1:least(p
 @query(f"WITH {_PAGES} SELECT doc_id, page::INT AS page, CASE WHEN page < 2 THEN (['i', 'ii'])[(page + 1)::INT] ELSE 'A-' || (page - 1) END AS label, coalesce(array_to_string(lines, chr(10)), '') AS text FROM l")
 def pdf_page_text(spark, sf_dir):
     """Text of every page in physical order, with its label."""
-    files = made(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", lambda r: synth.text_pdf(r["text"] or "", labels=b"0 << /S /r >> 2 << /S /D /P (A-) >>"))
-    parsed = pdf.parse(files, ["pages", "labels", "runs"], ["doc_id"])
-    parsed = _kept(parsed)
-    text = layout.page_text(pdf.table(parsed, "runs", ["doc_id"]), ["doc_id", "page"], "physical")
-    return page_labels(parsed).join(text, ["doc_id", "page"], "left").select("doc_id", "page", "label", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _kept(parsed: DataFrame) -> DataFrame:
-    """Facets that several views read are kept in executor storage, with disk, so that each file is parsed once; what is lost is parsed again."""
-    from pyspark import StorageLevel
-
-    return parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    files = made(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", lambda r: synth.text_pdf(r["text"] or "", labels=b"0 << /S /r >> 2 << /S /D /P (A-) >>"))
+    parsed = pdf.parse(files, ["labels", "page_runs"], ["doc_id"])
+    pages = parsed.select("doc_id", "labels", F.explode("page_runs").alias("p")).select("doc_id", "p.page", page_label(F.col("labels"), F.col("p.page")).alias("label"), F.col("p.runs").alias("runs"))
+    return pages.select("doc_id", "page", "label", layout.nested_text(F.col("runs")).alias("text"))
 
 
 @query(f"WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents) SELECT doc_id, greatest((len(words) + 319) // 320, 1)::INT AS pages, '1.7' AS version, false AS xref_repaired FROM w")

@@ -19,12 +19,14 @@ from .document import Document
 from .objects import PdfError
 
 _BOX = "struct<l double, b double, r double, t double>"
+_RUN = "seq int, text string, left double, bottom double, right double, top double, rotation int, space_after boolean, font_name string, font_size double, vertical boolean, rtl boolean"
 FACETS = {
     "document": "version string, pages int, encrypted boolean, locked boolean, linearized boolean, xref_repaired boolean, page_mode string, page_layout string, form_type string, has_javascript boolean, xmp string, id_permanent string, id_update string",
     "info": "key string, value string",
     "pages": f"page int, media {_BOX}, crop {_BOX}, bleed {_BOX}, trim {_BOX}, art {_BOX}, rotate int, duration double",
     "labels": "start_page int, prefix string, style string, first int",
-    "runs": "page int, seq int, text string, left double, bottom double, right double, top double, rotation int, space_after boolean, font_name string, font_size double, vertical boolean, rtl boolean",
+    "runs": f"page int, {_RUN}",
+    "page_runs": f"page int, runs array<struct<{_RUN}>>",
     "fonts": "page int, resource string, base string, subtype string, encoding string, embedded string, is_subset boolean, to_unicode boolean",
     "elements": "page int, seq int, parent int, kind string, paint string, mode string, color array<double>",
     "images": "page int, seq int, width int, height int, error string, png binary",
@@ -46,7 +48,10 @@ FACETS = {
     "xref": "obj int, kind string, field1 long, field2 int",
     "diagnostics": "seq int, severity string, code string, message string, offset long",
 }
-CONTENT = ("runs", "fonts", "elements", "images", "operators")
+CONTENT = ("runs", "page_runs", "fonts", "elements", "images", "operators")
+
+#: A batch of parsed files ends at so many, or so many bytes of them, whichever comes first.
+BATCH_FILES, BATCH_BYTES = 64, 1 << 18
 
 
 def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -82,11 +87,18 @@ def parse(files: DataFrame, facets: list[str], keys: list[str], repair: bool = T
     arrow = to_arrow_schema(schema)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in rows:
             for i in range(batch.num_rows):
                 one = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 found = facets_of(one["content"] or b"", facets, one.get("owner_password"), one.get("user_password"), repair, limits)
-                yield pa.RecordBatch.from_pylist([{**{k: one[k] for k in keys}, **found}], schema=arrow)
+                held.append({**{k: one[k] for k in keys}, **found})
+                size += len(one["content"] or b"")
+                if size >= BATCH_BYTES or len(held) >= BATCH_FILES:
+                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     return chosen.mapInArrow(run, schema)
 
